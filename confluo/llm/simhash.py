@@ -149,16 +149,38 @@ def near_edges(fps: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_tile_edges, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id."""
-    rows = common.materialise(fingerprints(docs), "fingerprints")
+def _classes(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, fp): per fingerprint its component and component_id, the least
+    doc_id of the component (null if no row of it has an id)."""
     classes = common.materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
     found = components(near_edges(classes.select("fp"))).withColumnRenamed("node", "fp")
     member = common.materialise(classes.join(found, "fp", "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component")), "members")
     lowest = common.materialise(member.groupBy("component").agg(F.min("first_id").alias("component_id")), "lowest")
-    named = common.materialise(member.join(lowest, "component").select("fp", "component_id"), "named")
+    return common.materialise(member.join(lowest, "component").select("fp", "component", "component_id"), "named")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """Per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id."""
+    rows = common.materialise(fingerprints(docs), "fingerprints")
+    named = _classes(rows).drop("component")
     return rows.join(named, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of each component of ``docs``, the one with the least id; all columns.
+    Rows without an id stay only where no row of their component has one, once each."""
+    rows = common.materialise(fingerprints(docs), "fingerprints")
+    named = _classes(rows)
+    first = named.where("component_id is not null").select(F.col("component_id").alias("doc_id")).distinct()
+    kept = docs.join(common.materialise(first, "kept"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    bare = docs.where("doc_id is null")
+    if bare.isEmpty():
+        return kept
+    text = F.col("text")
+    prints = fingerprints(bare.select("doc_id", "text").withColumn("doc_id", F.xxhash64(text))).dropDuplicates(["doc_id"])
+    lone = bare.withColumn("_t", F.xxhash64(text)).join(prints.withColumnRenamed("doc_id", "_t"), "_t").join(named.where("component_id is null"), "fp")
+    return kept.unionByName(lone.dropDuplicates(["component"]).select(*docs.columns))
+
+
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(common.table(spark, sf_dir, "documents"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types
 
 from confluo.functions import text as T
 
@@ -51,17 +52,17 @@ def set_ratio(a: str, b: str) -> float:
     return max(ratios)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(types.DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([indel_ratio(x or "", y or "") for x, y in zip(a, b)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(types.DoubleType())
 def token_set_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([set_ratio(x or "", y or "") for x, y in zip(a, b)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(types.DoubleType())
 def round_as_python(x: pd.Series) -> pd.Series:
     """Four places, by the decimal value of the double, ties to even."""
     return x.map(lambda v: round(v, 4) if v == v else v)

@@ -11,6 +11,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types
 
 # What the three stages take for blank.
 BLANK_MATCHING = ("", "n/a", "na", "nan", "none", "not available", "null", "unknown")
@@ -48,7 +49,7 @@ def clean_for_evaluation(c: Column) -> Column:
     return _clean(c, BLANK_EVALUATION)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(types.StringType())
 def _fold(s: pd.Series) -> pd.Series:
     return s.map(lambda x: "" if x is None else unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode())
 

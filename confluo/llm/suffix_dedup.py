@@ -199,6 +199,25 @@ def _match(batches):
         yield flush(family, names)
 
 
+def _pieces(batches):
+    """The contexts' bytes, equal ones of a batch as one row with their number."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, 500):
+            batch, seen = whole.slice(at, 500), {}
+            for data, some in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for c in some:
+                    key = (c["key"], c["digest"])
+                    if key in seen:
+                        seen[key][0] += 1
+                        seen[key][1] |= c["inner"]
+                    else:
+                        seen[key] = [1, c["inner"], data[c["start"] : c["start"] + c["size"]]]
+            keys, digests = zip(*seen) if seen else ((), ())
+            n, own, parts = zip(*seen.values()) if seen else ((), (), ())
+            columns = [pa.array(list(c), t) for c, t in ((keys, pa.int64()), (digests, pa.binary()), (own, pa.bool_()), (n, pa.int64()), (parts, pa.binary()))]
+            yield pa.record_batch(columns, ["key", "digest", "inner", "n", "data"])
+
+
 def _windows(batches):
     for batch in batches:
         out = [[], [], [], []]
@@ -252,7 +271,7 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def keys(batches):
-        for batch in batches:
+        for batch in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
             out = []
             for text in batch.column(0).to_pylist():
                 data = np.frombuffer((text or "").encode(), np.uint8)
@@ -267,7 +286,7 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def rows(batches):
         bits, row = sent.value, TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
             out: list[list] = [[] for _ in _ROW]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 raw, some = (text or "").encode(), []
@@ -285,10 +304,9 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(out, _ROW)], schema=_ROW)
 
     table = common.materialise(docs.mapInArrow(rows, ROW_SCHEMA), "rows")
-    seen = table.where("contexts is not null").select("row", "data", F.explode("contexts").alias("c"))
-    seen = seen.select("row", F.col("c.start").alias("start"), F.col("c.size").alias("size"), F.col("c.key").alias("key"), F.col("c.inner").alias("inner"), F.col("c.digest").alias("digest"), "data")
-    part = F.expr("substring(data, start + 1, size)")
-    different = common.materialise(seen.groupBy("key", "digest").agg(F.count("*").alias("n"), F.max("inner").alias("inner"), F.first(part).alias("data")), "contexts")
+    held = table.where("contexts is not null")
+    pieces = held.select("data", "contexts").mapInArrow(_pieces, "key long, digest binary, inner boolean, n long, data binary")
+    different = common.materialise(pieces.groupBy("key", "digest").agg(F.sum("n").alias("n"), F.max("inner").alias("inner"), F.first("data").alias("data")), "contexts")
     load = common.materialise(different.groupBy("key").agg(F.count("*").alias("m"), F.max("inner").alias("own")).where("m > 1 or own").drop("own"), "keys")
     shared = different.join(load, "key")
     few = shared.where(F.col("m") <= LIMIT).select("key", "digest", "data").repartition("key").sortWithinPartitions("key")
@@ -299,7 +317,8 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # a context that occurs again as a whole is repeated throughout
     copied = different.where("n > 1").select("digest", F.array(F.struct(F.lit(0).alias("s"), F.octet_length("data").alias("e"))).alias("spans"))
     found = common.materialise(matched.unionAll(counted).unionAll(copied).groupBy("digest").agg(F.flatten(F.collect_list("spans")).alias("spans")), "matches")
-    placed = seen.drop("data").join(found, "digest").select("row", F.transform("spans", lambda x: F.struct((x["s"] + F.col("start")).alias("s"), (x["e"] + F.col("start")).alias("e"))).alias("spans"))
+    seen = held.select("row", F.explode("contexts").alias("c")).select("row", F.col("c.start").alias("start"), F.col("c.digest").alias("digest"))
+    placed = seen.join(found, "digest").select("row", F.transform("spans", lambda x: F.struct((x["s"] + F.col("start")).alias("s"), (x["e"] + F.col("start")).alias("e"))).alias("spans"))
     return table, placed.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 

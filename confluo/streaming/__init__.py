@@ -1,0 +1 @@
+"""Empty on purpose: the batch platform this library covers has no streams."""

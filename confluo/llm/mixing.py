@@ -29,6 +29,7 @@ from confluo.llm import common
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_COPIES = 3
 BITS, STEP = 48, 12
+ADDED = ("size", "source_size", "target", "copies", "taken")
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -111,9 +112,23 @@ def _cutoffs(keyed: DataFrame, rates: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, seed: int = 1) -> DataFrame:
     """``docs`` (doc_id, text, source, ...) with size, source_size, target, copies and
-    taken (copies times size)."""
-    added = ("size", "source_size", "target", "copies", "taken")
-    kept = [c for c in docs.columns if c not in added]
+    taken (copies times size), which replace columns of the same name."""
+    found, own = _mixed(docs, weights, seed)
+    return found.select(*[F.col(k).alias(c) for c, k in own.items() if c not in ADDED], *ADDED)
+
+
+def take(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, seed: int = 1) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it; all their columns."""
+    found, own = _mixed(docs, weights, seed)
+    again = found.where("copies > 0").withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return again.select(*[F.col(k).alias(c) for c, k in own.items()])
+
+
+def _mixed(docs: DataFrame, weights: tuple[float, ...], seed: int) -> tuple[DataFrame, dict[str, str]]:
+    """The mix, and the names that the columns of ``docs`` have in it."""
+    own = {c: c if c in ("doc_id", "text", "source") else f"_own{i}" for i, c in enumerate(docs.columns)}
+    docs = docs.toDF(*own.values())
+    kept = docs.columns
     small = docs.select(F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), uniform(F.col("doc_id"), F.col("text"), seed).alias("u"))
     small = common.materialise(small, "sizes")
     grouped = common.materialise(small.groupBy("source", "size").agg(F.count("*").alias("n")), "grouped")
@@ -128,7 +143,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, seed: int = 1) ->
     full = docs.select(*kept).withColumn("size", word_count(F.col("text"))).withColumn("u", uniform(F.col("doc_id"), F.col("text"), seed))
     full = _keyed(full.join(plan, F.col("source").cast("string").eqNullSafe(F.col("p_source"))))
     copies = F.col("whole") + F.when(F.col("key") <= F.col("cut"), 1).otherwise(0)
-    return full.withColumn("copies", copies).select(*kept, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return full.withColumn("copies", copies).select(*kept, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")), own
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:

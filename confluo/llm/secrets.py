@@ -36,9 +36,9 @@ CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 IDENTIFIER = r"[A-Za-z0-9_]{4,}"
 SAMPLE = 1000
 #: Least log-likelihood ratio per step, in nats.
-THRESHOLD = 1.0
+THRESHOLD = 0.3
 #: Share of the uniform distribution in each model.
-RANDOM_FLOOR, IDENTIFIER_FLOOR = 0.2, 0.02
+RANDOM_FLOOR, IDENTIFIER_FLOOR = 0.4, 0.02
 _SPAN = "array<struct<start:int,ord:int,end:int,kind:string>>"
 
 
@@ -128,12 +128,13 @@ def markov_spans(text: Column, base: Column, ratios: list[float] | None, thresho
     return F.when(text.rlike(CANDIDATE), F.filter(free, lambda s: mean_ratio(_piece(text, s)) >= threshold)).otherwise(_none())
 
 
-def secret_spans(docs: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with ``base`` and ``spans``: sorted arrays of (start, ord, end, kind)."""
+def secret_spans(docs: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD, names: tuple[str, str] = ("base", "spans")) -> DataFrame:
+    """``docs`` with two sorted arrays of (start, ord, end, kind), called ``names``."""
+    base, spans = names
     ratios = train(docs, sample)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    out = docs.withColumn("base", base_spans(text))
-    return out.withColumn("spans", F.array_sort(F.concat("base", markov_spans(text, F.col("base"), ratios, threshold))))
+    out = docs.withColumn(base, base_spans(text))
+    return out.withColumn(spans, F.array_sort(F.concat(base, markov_spans(text, F.col(base), ratios, threshold))))
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
@@ -148,11 +149,12 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         before = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(apart, F.concat(acc["out"], before, F.lit(mark))).otherwise(acc["out"]).alias("out"))
 
-    hidden = F.aggregate("spans", zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    out = secret_spans(docs.drop("base", "spans")).withColumn("text", F.when(F.size("spans") > 0, hidden).otherwise(text))
+    hidden = F.aggregate("_spans", zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    some = F.size("_spans") > 0
+    out = secret_spans(docs, names=("_base", "_spans")).withColumn("text", F.when(some, hidden).otherwise(text))
     if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*[c for c in columns if c not in ("base", "spans")])
+        out = out.withColumn("n_chars", F.when(some, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*columns)
 
 
 def _joined(spans: str) -> Column:

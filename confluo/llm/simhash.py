@@ -176,10 +176,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     bare = docs.where("doc_id is null")
     if bare.isEmpty():
         return kept
-    text = F.col("text")
-    prints = fingerprints(bare.select("doc_id", "text").withColumn("doc_id", F.xxhash64(text))).dropDuplicates(["doc_id"])
-    lone = bare.withColumn("_t", F.xxhash64(text)).join(prints.withColumnRenamed("doc_id", "_t"), "_t").join(named.where("component_id is null"), "fp")
-    return kept.unionByName(lone.dropDuplicates(["component"]).select(*docs.columns))
+    bare = bare.withColumn("_text", F.xxhash64("text"))
+    prints = fingerprints(bare.select(F.col("_text").alias("doc_id"), "text")).dropDuplicates(["doc_id"]).toDF("_text", "_fp")
+    lone = named.where("component_id is null").select(F.col("fp").alias("_fp"), F.col("component").alias("_component"))
+    once = bare.join(prints, "_text").join(lone, "_fp").dropDuplicates(["_component"])
+    return kept.unionByName(once.select(*docs.columns))
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ explains (exact binomial tail).  Distinct contexts, because copies of one docume
 would otherwise make every word of it look telling.  The field has two states and
 features of the word, its first four and last three letters; it is fitted by
 likelihood.  Forward-backward marginals give a document score through a logistic
-function of the largest marginal and the expected number of toxic tokens, and the
+function of the largest marginal and the expected number of likely toxic tokens, and the
 offsets of the offending spans.
 
 The fit uses at most ``sample`` training documents of each label, those first by
@@ -35,6 +35,7 @@ from confluo.llm import common
 
 DIM = 1 << 18
 SAMPLE = 2000
+LIKELY = 0.2
 CACHE_ENTRIES = 500_000
 _EDGE = re.compile(r"^\W+|\W+$")
 _CELLS = 2_000_000
@@ -136,11 +137,12 @@ def _masked(d, lengths, trans):
 
 
 def summary(marginals: list[np.ndarray]) -> np.ndarray:
-    """Per document: logit of the largest marginal, log of one plus their sum."""
+    """Per document: logit of the largest marginal, and log of one plus the sum of those
+    of at least ``LIKELY`` (many unlikely tokens are no sign of a toxic one)."""
     out = np.zeros((len(marginals), 2))
     for i, p in enumerate(marginals):
         top = min(max(float(p.max()), 1e-6), 1 - 1e-6) if len(p) else 1e-6
-        out[i] = math.log(top / (1 - top)) / 5, math.log1p(float(p.sum()))
+        out[i] = math.log(top / (1 - top)) / 5, math.log1p(float(p[p >= LIKELY].sum()))
     return out
 
 

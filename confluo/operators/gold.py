@@ -39,7 +39,7 @@ def survivors(candidates: DataFrame, entity: str = "ucr_id", attribute: str = "a
     Candidate and distinct counts are over all, frequency over the competitors."""
     group = [entity, attribute]
     all_ = Window.partitionBy(*group)
-    c = candidates.withColumn("candidate_count", F.count("*").over(all_)).withColumn("distinct_count", F.size(F.collect_set("key").over(all_)))
+    c = candidates.withColumn("candidate_count", F.count("*").over(all_)).withColumn("distinct_count", F.size(F.collect_set("key").over(all_)).cast("long"))
     c = c.withColumn("_top", F.max("completeness").over(all_)).where(F.col("completeness") == F.col("_top")).drop("_top")
     c = c.withColumn("frequency", F.count("*").over(Window.partitionBy(*group, "key")))
     order = ["priority", "key", "staging_record_id"] if earliest else ["priority", F.desc("frequency"), F.desc("rank_date"), "staging_record_id"]

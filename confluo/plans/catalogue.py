@@ -210,14 +210,14 @@ def survivorship(spark, d):
     return gold.survivors(c).select("ucr_id", "key", "staging_record_id", "candidate_count", "distinct_count", "frequency")
 
 
-@query("""WITH s AS (SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS spent, round(avg(o_totalprice), 2) AS mean, min(strftime(o_orderdate, '%Y-%m-%d')) AS first_order, max(strftime(o_orderdate, '%Y-%m-%d')) AS last_order FROM orders GROUP BY 1),
+@query("""WITH s AS (SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS spent, round(avg(o_totalprice), 6) AS mean, min(strftime(o_orderdate, '%Y-%m-%d')) AS first_order, max(strftime(o_orderdate, '%Y-%m-%d')) AS last_order FROM orders GROUP BY 1),
 e AS (SELECT user_id, count(*) AS sessions, count(*) FILTER (WHERE event_type = 'click') AS baskets, count(*) FILTER (WHERE event_type = 'purchase') AS conversions FROM events GROUP BY 1)
 SELECT c_custkey AS ucr_id, coalesce(n, 0) AS transactions, coalesce(spent, 0) AS spent, coalesce(mean, 0) AS mean, coalesce(first_order, '') AS first_order, coalesce(last_order, '') AS last_order, coalesce(sessions, 0) AS sessions,
 round(CASE WHEN coalesce(baskets, 0) = 0 THEN 0 ELSE conversions / baskets END, 6)::DOUBLE AS conversion_rate FROM customer LEFT JOIN s ON c_custkey = o_custkey LEFT JOIN e ON c_custkey = user_id""")
 def interaction_summary(spark, d):
     """Per-entity activity with defaults."""
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
-    shop = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("ucr_id")).agg(F.count("*").alias("transactions"), F.round(F.sum("o_totalprice"), 2).alias("spent"), F.round(F.avg("o_totalprice"), 2).alias("mean"), T.safe_min(day).alias("first_order"), T.safe_max(day).alias("last_order"))
+    shop = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("ucr_id")).agg(F.count("*").alias("transactions"), F.round(F.sum("o_totalprice"), 2).alias("spent"), F.round(F.avg("o_totalprice"), 6).alias("mean"), T.safe_min(day).alias("first_order"), T.safe_max(day).alias("last_order"))
     kind = lambda k: F.count(F.when(F.col("event_type") == k, 1))
     web = table(spark, d, "events").groupBy(F.col("user_id").alias("ucr_id")).agg(F.count("*").alias("sessions"), F.round(T.safe_divide(kind("purchase"), kind("click")), 6).alias("conversion_rate"))
     return gold.interactions(table(spark, d, "customer").select(F.col("c_custkey").alias("ucr_id")), [shop, web])

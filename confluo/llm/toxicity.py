@@ -60,12 +60,13 @@ def features(token: str) -> list[int]:
 
 def chain(d: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Forward and backward odds of the toxic state.  d: log-potentials, time by
-    document; trans: positive 2 x 2 potentials.  The marginal is fb / (1 + fb)."""
+    document; trans: positive 2 x 2 potentials, a clean token going before the first.
+    The marginal is fb / (1 + fb)."""
     (a00, a01), (a10, a11) = trans
     e = np.exp(np.clip(d, -30, 30))
     f, b = np.empty_like(e), np.ones_like(e)
     if len(e):
-        f[0] = e[0]
+        f[0] = e[0] * a01 / a00
     for t in range(1, len(e)):
         f[t] = e[t] * (a01 + a11 * f[t - 1]) / (a00 + a10 * f[t - 1])
     for t in range(len(e) - 2, -1, -1):
@@ -127,7 +128,7 @@ def _masked(d, lengths, trans):
     (a00, a01), (a10, a11) = trans
     e = np.exp(np.clip(d, -30, 30))
     f, b = np.empty_like(e), np.ones_like(e)
-    f[0] = e[0]
+    f[0] = e[0] * a01 / a00
     for t in range(1, len(e)):
         f[t] = e[t] * (a01 + a11 * f[t - 1]) / (a00 + a10 * f[t - 1])
     for t in range(len(e) - 2, -1, -1):

@@ -287,7 +287,7 @@ def test_toxicity(spark, docs, empty, real):
 def test_forward_backward_by_enumeration():
     rng = np.random.default_rng(12)
     d, trans = rng.normal(size=(5, 1)), np.exp(rng.normal(size=(2, 2)))
-    weight = {p: np.exp(sum(d[t, 0] * s for t, s in enumerate(p))) * np.prod([trans[a, b] for a, b in zip(p, p[1:])]) for p in np.ndindex(*(2,) * 5)}
+    weight = {p: np.exp(sum(d[t, 0] * s for t, s in enumerate(p))) * np.prod([trans[a, b] for a, b in zip((0, *p), p)]) for p in np.ndindex(*(2,) * 5)}
     want = [sum(w for p, w in weight.items() if p[t]) / sum(weight.values()) for t in range(5)]
     f, b = toxicity.chain(d, trans)
     assert np.allclose((f * b / (1 + f * b))[:, 0], want)

@@ -172,7 +172,7 @@ _SPAN_TYPE = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
 
 
 def _match(batches):
-    """Rows (key, digest, data) sorted by key; a family ends with the batch in which
+    """Rows (key, digest, data, inner) sorted by key; a family ends with the batch in which
     a key ends."""
 
     def flush(family: Family, names: list[bytes]):
@@ -182,6 +182,13 @@ def _match(batches):
 
     family, names, parts, size, last = Family(), [], [], 0, None
     for batch in batches:
+        keys = batch.column(0).to_numpy()
+        # a context alone in its minimiser can only match itself; the ends of a batch
+        # may go on in the next one
+        edge = np.concatenate(([True], keys[1:] != keys[:-1], [True]))
+        alone = edge[1:] & edge[:-1] & ~batch.column(3).to_numpy(zero_copy_only=False)
+        alone[:1] = alone[-1:] = False
+        batch = batch.filter(pa.array(~alone))
         for key, digest, data in zip(*(batch.column(i).to_pylist() for i in range(3))):
             if size >= BATCH_BYTES:
                 family.add(parts)
@@ -307,11 +314,11 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     held = table.where("contexts is not null")
     pieces = held.select("data", "contexts").mapInArrow(_pieces, "key long, digest binary, inner boolean, n long, data binary")
     different = common.materialise(pieces.groupBy("key", "digest").agg(F.sum("n").alias("n"), F.max("inner").alias("inner"), F.first("data").alias("data")), "contexts")
-    load = common.materialise(different.groupBy("key").agg(F.count("*").alias("m"), F.max("inner").alias("own")).where("m > 1 or own").drop("own"), "keys")
-    shared = different.join(load, "key")
-    few = shared.where(F.col("m") <= LIMIT).select("key", "digest", "data").repartition("key").sortWithinPartitions("key")
-    matched = few.mapInArrow(_match, "digest binary, spans array<struct<s:int,e:int>>")
-    windows = common.materialise(shared.where(F.col("m") > LIMIT).select("digest", "data").mapInArrow(_windows, "digest binary, s int, h1 long, h2 long"), "windows")
+    crowd = different.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > LIMIT).select("key")
+    crowd = common.materialise(crowd, "crowded")
+    few = different.join(crowd, "key", "left_anti").select("key", "digest", "data", "inner")
+    matched = few.repartition("key").sortWithinPartitions("key").mapInArrow(_match, "digest binary, spans array<struct<s:int,e:int>>")
+    windows = common.materialise(different.join(crowd, "key", "left_semi").select("digest", "data").mapInArrow(_windows, "digest binary, s int, h1 long, h2 long"), "windows")
     again = common.materialise(windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), "again")
     counted = windows.join(again, ["h1", "h2"]).groupBy("digest").agg(F.transform(F.collect_list("s"), lambda s: F.struct(s.alias("s"), (s + WINDOW).alias("e"))).alias("spans"))
     # a context that occurs again as a whole is repeated throughout

@@ -221,4 +221,4 @@ def probabilistic(records: DataFrame, prohibited: DataFrame, automatic: float =
     edges = scored.where("decision = 'automatic'").select(F.col("cluster_id_1").alias("left"), F.col("cluster_id_2").alias("right"), "score", "coverage", F.lit("FUZZY").alias("rule"), F.lit(False).alias("authoritative"))
     one = profile.select(F.col("cluster").alias("id"), F.array_join("portals", "|").alias("portal"), F.array_join("births", "|").alias("dob"))
     merged, _ = constrained_clusters(one, edges, ("score", "coverage", "left", "right"), ("score", "coverage"))
-    return merged.withColumnsRenamed({"id": "cluster", "cluster": "merged"}), scored
+    return merged.toDF("cluster", "merged"), scored

@@ -48,8 +48,8 @@ def numbered(df: DataFrame, order: list, name: str, prefix: str, digits: int = 6
     by = [F.col(c) if isinstance(c, str) else c for c in order]
     ranged = df.repartitionByRange(df.sparkSession.sparkContext.defaultParallelism, *by).sortWithinPartitions(*by)
     local = cut(ranged.withColumn("_part", F.spark_partition_id()).withColumn("_n", F.monotonically_increasing_id()), "numbered")
-    sizes = local.groupBy("_part").agg(F.count("*").alias("n"), F.min("_n").alias("first"))
+    sizes = local.groupBy("_part").agg(F.count("*").alias("_rows"), F.min("_n").alias("_first"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_part", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    number = F.col("_n") - F.col("first") + F.col("offset") + 1
+    offsets = sizes.select("_part", "_first", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
+    number = F.col("_n") - F.col("_first") + F.col("_offset") + 1
     return local.join(F.broadcast(offsets), "_part").select(F.format_string(f"{prefix}%0{digits}d", number).alias(name), *df.columns)

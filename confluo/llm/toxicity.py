@@ -154,52 +154,49 @@ def _tail(a: int, n: int, share: float) -> float:
     return top + math.log(sum(math.exp(x - top) for x in logs))
 
 
-def telling(texts: list[list[str]], toxic: np.ndarray, log_p: float = math.log(1e-7)) -> set[str]:
-    """Words ("w...") and openings ("p...") that mark toxic documents."""
-    seen: dict[str, tuple[set, set]] = {}
-    for words, y in zip(texts, toxic):
-        before = ""
-        for w in map(bare, words):
-            if len(w) >= 3:
-                for key in ("w" + w, "p" + w[:4]):
-                    seen.setdefault(key, (set(), set()))[int(y)].add(hash((before, w)))
-            before = w
-    total = [sum(len(s[k]) for s in seen.values()) for k in (0, 1)]
+def telling(texts: list[np.ndarray], words: list[str], toxic: np.ndarray, log_p: float = math.log(1e-7)) -> set[str]:
+    """Words ("w...") and openings ("p...") that mark toxic documents.  texts: numbers
+    of bare words."""
+    at = [np.column_stack((np.append(-1, t[:-1]), t)) for t in texts]
+    seen: dict[str, list[int]] = {}
+    for y in (0, 1):
+        pairs = np.unique(np.concatenate([p for p, label in zip(at, toxic) if label == y]), axis=0)
+        count = np.bincount(pairs[:, 1], minlength=len(words))
+        for i in np.flatnonzero(count).tolist():
+            if len(words[i]) >= 3:
+                for key in ("w" + words[i], "p" + words[i][:4]):
+                    seen.setdefault(key, [0, 0])[y] += int(count[i])
+    total = [sum(s[k] for s in seen.values()) for k in (0, 1)]
     share = min(max(total[1] / max(sum(total), 1), 1e-9), 0.5)
-    return {key for key, (n, t) in seen.items() if len(t) >= 4 and len(t) >= 4 * len(n) and _tail(len(t), len(t) + len(n), share) < log_p}
+    return {key for key, (n, t) in seen.items() if t >= 4 and t >= 4 * n and _tail(t, t + n, share) < log_p}
 
 
 def fit(rows: list[tuple[str, int]], weight: tuple[float, float] = (1.0, 1.0), rounds: int = 25) -> Field:
     """Fit from (text, label) rows; ``weight`` undoes the sampling by label."""
-    texts, toxic = [tokens(t) for t, _ in rows], np.array([y for _, y in rows], np.int64)
+    toxic = np.array([y for _, y in rows], np.int64)
     share = float(np.dot(toxic, np.full(len(toxic), weight[1])) / max(1e-9, sum(weight[y] for y in toxic))) if len(rows) else 0.0
     if not 0 < toxic.sum() < len(toxic):
         flat = math.log(max(share, 1e-6) / max(1 - share, 1e-6)) if rows else -30.0
         return Field(np.zeros(DIM, np.float32), -8.0, np.ones((2, 2)), np.array([flat, 0.0, 0.0]))
-    marks = telling(texts, toxic)
     index: dict[str, int] = {}
-    feats, tagged = [], []
-    for words in texts:
-        for w in words:
-            if w not in index:
-                index[w] = len(index)
-                feats.append(features(w))
-                b = bare(w)
-                tagged.append("w" + b in marks or "p" + b[:4] in marks)
-    feats, tagged = np.array(feats or [[0, 0, 0]]), np.array(tagged or [False], float)
-    ids = [np.fromiter((index[w] for w in words), np.int64, len(words)) for words in texts]
+    ids = [np.array([index.setdefault(w, len(index)) for w in tokens(t)], np.int32) for t, _ in rows]
+    naked: dict[str, int] = {}
+    bare_of = np.array([naked.setdefault(bare(w), len(naked)) for w in index] or [0], np.int32)
+    marks = telling([bare_of[i] for i in ids], list(naked), toxic)
+    feats = np.array([features(w) for w in index] or [[0, 0, 0]], np.int32)
+    tagged = np.array([("w" + b in marks or "p" + b[:4] in marks) for b in map(bare, index)] or [False])
     lengths = np.array([len(i) for i in ids], np.int64)
     groups = []
     for group in padded(lengths):
-        at = np.zeros((int(lengths[group].max()), len(group)), np.int64)
+        at = np.zeros((int(lengths[group].max()), len(group)), np.int32)
         for k, i in enumerate(group):
             at[: lengths[i], k] = ids[i]
         inside = np.arange(len(at))[:, None] < lengths[group]
-        groups.append((at, inside, tagged[at] * inside * toxic[group], lengths[group]))
+        groups.append((at, inside, tagged[at] & inside & (toxic[group] == 1), lengths[group]))
     gold = np.bincount(np.concatenate([g[0][g[1]] for g in groups]), weights=np.concatenate([g[2][g[1]] for g in groups]), minlength=len(feats))
     gold_pair = np.ones((2, 2))
     for _, inside, y, _ in groups:
-        a, b, both = y[:-1], y[1:], inside[1:]
+        a, b, both = y[:-1].astype(float), y[1:].astype(float), inside[1:]
         gold_pair += [[((1 - a) * (1 - b) * both).sum(), ((1 - a) * b * both).sum()], [(a * (1 - b) * both).sum(), (a * b * both).sum()]]
     # transitions and bias start at the labelled frequencies; the weights are fitted
     trans = gold_pair / gold_pair.sum(axis=1, keepdims=True)
@@ -248,16 +245,21 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
-    """Fit on at most ``sample`` training documents of each label."""
+    """Fit on at most ``sample`` training documents of each label: ids are chosen first,
+    by a hash that passes about that many, and only their texts move."""
     y = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("label"))
-    y = y.where(~held_out("doc_id"))
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(y, "doc_id").where("text is not null")
-    total = {r["label"]: r["n"] for r in y.groupBy(F.col("label").cast("int").alias("label")).agg(F.count("*").alias("n")).where("label in (0, 1)").collect()}
-    rows, taken = [], [0, 0]
-    for label in (0, 1):
-        part = known.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).select("text").collect()
-        rows += [(r["text"], label) for r in part]
-        taken[label] = len(part)
+    y = y.where(~held_out("doc_id") & F.col("label").isin(0, 1))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    known = y.join(texts.select("doc_id"), "doc_id", "left_semi")
+    total = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    u, chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)), []
+    for label, n in sorted(total.items()):
+        passing = known.where((F.col("label") == label) & (u < int((1 << 40) * min(1.0, 1.05 * sample / n))))
+        chosen += [(r["doc_id"], label) for r in passing.orderBy(u, "doc_id").limit(sample).collect()]
+    ids = docs.sparkSession.createDataFrame(chosen, "doc_id long, label int")
+    # at most twice ``sample`` ids; repeated rows of an id count once
+    rows = [(r["text"], r["label"]) for r in texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).orderBy("doc_id").collect()]
+    taken = [sum(1 for _, label in rows if label == k) for k in (0, 1)]
     return fit(rows, (total.get(0, 0) / max(1, taken[0]), total.get(1, 0) / max(1, taken[1])))
 
 

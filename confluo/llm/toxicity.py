@@ -36,9 +36,10 @@ from confluo.llm import common
 DIM = 1 << 18
 SAMPLE = 2000
 LIKELY = 0.2
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 200_000
 _EDGE = re.compile(r"^\W+|\W+$")
-_CELLS = 2_000_000
+_CELLS = 500_000
+_ROWS = 1000
 
 
 def held_out(doc_id) -> F.Column:
@@ -108,11 +109,11 @@ class Field:
         lengths = np.array([len(s) for s in scores], np.int64)
         out = [np.zeros(0)] * len(scores)
         for group in padded(lengths):
-            d = np.full((int(lengths[group].max()), len(group)), -30.0)
+            d = np.full((int(lengths[group].max()), len(group)), -30.0, np.float32)
             for k, i in enumerate(group):
                 d[: lengths[i], k] = scores[i]
             f, b = _masked(d, lengths[group], self.trans)
-            p = f * b
+            p = np.multiply(f, b, out=f)
             p /= 1 + p
             for k, i in enumerate(group):
                 out[i] = p[: lengths[i], k]
@@ -124,9 +125,9 @@ class Field:
 
 
 def _masked(d, lengths, trans):
-    """As ``chain``; a padded step hands the backward odds on unchanged."""
-    (a00, a01), (a10, a11) = trans
-    e = np.exp(np.clip(d, -30, 30))
+    """As ``chain``; a padded step hands the backward odds on unchanged.  Overwrites d."""
+    (a00, a01), (a10, a11) = trans.astype(d.dtype)
+    e = np.exp(np.clip(d, -30, 30, out=d), out=d)
     f, b = np.empty_like(e), np.ones_like(e)
     f[0] = e[0] * a01 / a00
     for t in range(1, len(e)):
@@ -212,7 +213,7 @@ def fit(rows: list[tuple[str, int]], weight: tuple[float, float] = (1.0, 1.0), r
             f, b = _masked(d, size, trans)
             p = f * b / (1 + f * b)
             expected += np.bincount(at[inside], weights=p[inside], minlength=len(feats))
-            x = np.exp(np.clip(d[1:], -30, 30)) * b[1:]
+            x = d[1:] * b[1:]
             parts = np.array([[np.full_like(x, trans[0, 0]), trans[0, 1] * x], [f[:-1] * trans[1, 0], f[:-1] * trans[1, 1] * x]])
             pair += (parts / parts.sum(axis=(0, 1)) * inside[1:]).sum(axis=(2, 3))
         gap = gold - expected
@@ -273,10 +274,10 @@ def toxic_scores(docs: DataFrame, field: Field, spans: bool = False) -> DataFram
         model = shared.value
         score = model.scorer()
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
+            for at in range(0, whole.num_rows, _ROWS):
+                batch = whole.slice(at, _ROWS)
                 texts = batch.column(1).to_pylist()
-                marginals = model.marginals([np.array(list(map(score, tokens(t)))) for t in texts])
+                marginals = model.marginals([np.fromiter(map(score, tokens(t)), np.float32) for t in texts])
                 columns = [batch.column(0), pa.array(model.score(marginals), pa.float64())]
                 if spans:
                     columns.append(pa.array([offending(t, p) for t, p in zip(texts, marginals)], pa.list_(pa.list_(pa.int32()))))
@@ -296,9 +297,9 @@ def keep_clean(docs: DataFrame, field: Field) -> DataFrame:
         model = shared.value
         score = model.scorer()
         for whole in batches:
-            for start in range(0, whole.num_rows, 2000):
-                batch = whole.slice(start, 2000)
-                marginals = model.marginals([np.array(list(map(score, tokens(t)))) for t in batch.column(at).to_pylist()])
+            for start in range(0, whole.num_rows, _ROWS):
+                batch = whole.slice(start, _ROWS)
+                marginals = model.marginals([np.fromiter(map(score, tokens(t)), np.float32) for t in batch.column(at).to_pylist()])
                 yield batch.filter(pa.array(model.score(marginals) < 0.5))
 
     return docs.mapInArrow(run, docs.schema)

@@ -45,13 +45,20 @@ def customers(spark: SparkSession, n: int = 10_000, seed: int = 42) -> DataFrame
         F.concat((F.floor(u(4) * 200) + 1).cast("string"), F.lit(" High Street")).alias("address"),
         F.concat(pick(("SO", "BN", "LS", "M"), u(5)), (F.floor(u(6) * 20) + 1).cast("string"), F.lit(" "), F.floor(u(7) * 9).cast("string"), F.lit("AB")).alias("postcode"),
         weighted_pick(SEGMENTS, u(8)).alias("customer_segment"),
+        pick(("South East", "South West", "London", "Midlands", "North"), u(9)).alias("region"),
+        F.date_format(F.date_sub(F.lit("2025-12-01").cast("date"), F.floor(u(10) * 1095).cast("int")), "yyyy-MM-dd").alias("registration_date"),
     )
 
 
 def events(spark: SparkSession, n: int = 52, seed: int = 42) -> DataFrame:
     d = spark.sql(f"select posexplode(sequence(date'2025-01-04', date'2025-01-04' + interval {7 * (n - 1)} days, interval 7 days)) as (i, event_date)")
     d = d.withColumn("event_id", F.format_string("EVT%04d", F.col("i") + 1))
-    return d.select("event_id", "event_date", F.floor(draw(seed, "event_id") * 501).cast("int").alias("event_standing_attendance"), F.floor(draw(seed + 1, "event_id") * 201).cast("int").alias("event_seated_attendance"))
+    u = lambda k: draw(seed + k, "event_id")
+    standing, seated = F.floor(u(0) * 501).cast("int"), F.floor(u(1) * 201).cast("int")
+    return d.select(
+        "event_id", F.concat(pick(("Harbour", "Midnight", "Summer", "Northern"), u(2)), F.lit(" Night "), F.col("i") + 1).alias("event_name"), pick(("Concert", "Comedy", "Theatre", "Festival"), u(3)).alias("event_category"), "event_date",
+        standing.alias("event_standing_attendance"), seated.alias("event_seated_attendance"), (standing + seated).alias("event_total_attendance"),
+        F.round(15 + u(4) * 30, 2).alias("ticket_price_standing"), F.round(25 + u(5) * 50, 2).alias("ticket_price_seated"))
 
 
 def weighted_sample(df: DataFrame, n: int, weight: Column, seed: int, *key: str) -> DataFrame:
@@ -90,7 +97,10 @@ def crm(population: DataFrame, seed: int = 7, duplicates: float = 0.025) -> Data
         "postcode": [(0.05, F.lit("")), (0.05, F.split("postcode", " ")[0])],
     }, seed + 1, *key)
     portal = F.when(draw(seed + 9, "ground_truth_id") < 0.55, F.concat(F.lit("USR"), F.substring("ground_truth_id", 3, 6))).otherwise("")
-    return rows.withColumn("portal_user_id", portal).withColumn("crm_customer_id", F.concat(F.lit("CRM"), F.substring("ground_truth_id", 3, 6), F.col("copy").cast("string"))).drop("copy", "customer_segment")
+    return rows.withColumn("portal_user_id", portal).withColumn("crm_customer_id", F.concat(F.lit("CRM"), F.substring("ground_truth_id", 3, 6), F.col("copy").cast("string"))).withColumns({
+        "record_created_date": F.col("registration_date"),
+        "preferred_contact_channel": pick(("Email", "Telephone", "Mail", "Unknown"), draw(seed + 10, *key)),
+    }).drop("copy", "customer_segment", "region", "registration_date")
 
 
 def gamma_minutes(u: Column, v: Column, low: float, high: float, scale: float) -> Column:

@@ -44,3 +44,33 @@ def cluster_map(links: DataFrame) -> DataFrame:
     line = F.concat(quote(F.col("ucr_id")), F.lit(" -> "), quote(F.concat_ws(" ", "source_system", "source_record_id")), F.lit(";"))
     lines = F.array_join(F.array_sort(F.collect_list(line)), "\n")
     return links.groupBy("ucr_id").agg(F.concat(F.lit("digraph entity {\n"), lines, F.lit("\n}")).alias("dot"))
+
+
+def composition(links: DataFrame) -> DataFrame:
+    """Records and entities per source system."""
+    return links.groupBy("source_system").agg(F.count("*").alias("records"), F.count_distinct("ucr_id").alias("entities"))
+
+
+def profile_header(master: DataFrame, ucr_id: str) -> DataFrame:
+    """Name, status and confidence of one entity; an absent confidence shows as n/a."""
+    labels = {"probabilistically_linked": "Probabilistically linked", "deterministically_linked": "Deterministically linked", "unresolved_singleton": "Single record"}
+    status = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in labels.items() for x in kv]), F.col("resolution_status")), "resolution_status")
+    return master.where(F.col("ucr_id") == ucr_id).select("ucr_id", display(F.col("full_name")).alias("name"), status.alias("status"), T.percent(F.col("cluster_confidence")).alias("confidence"), F.col("cluster_size").alias("records"), "source_systems")
+
+
+def identity_view(master: DataFrame, ucr_id: str, attributes: tuple[str, ...]) -> DataFrame:
+    """One line per attribute, in the order given."""
+    lines = F.explode(F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(a).alias("attribute"), display(F.col(a)).alias("value")) for i, a in enumerate(attributes)]))
+    return master.where(F.col("ucr_id") == ucr_id).select(lines.alias("l")).select("l.*").orderBy("ord")
+
+
+def linked_records(candidates: DataFrame, links: DataFrame, attributes: tuple[str, ...]) -> DataFrame:
+    """One row per record of an entity with the value it offers for each attribute."""
+    wide = candidates.groupBy("staging_record_id").pivot("attribute", list(attributes)).agg(F.first("key"))
+    return links.select("ucr_id", "staging_record_id", "source_system", "source_record_id").join(wide, "staging_record_id", "left").na.fill("").orderBy("ucr_id", "source_system", "staging_record_id")
+
+
+def timeline(details: DataFrame, ucr_id: str, system: str | None = None) -> DataFrame:
+    """Interactions of one entity, newest first, of one system or of all."""
+    rows = details.where((F.col("ucr_id") == ucr_id) & (F.lit(system is None) | (F.col("source_system") == F.lit(system or ""))))
+    return rows.select("interaction_date", "source_system", "interaction_type", "interaction_id").orderBy(F.desc("interaction_date"), "interaction_id")

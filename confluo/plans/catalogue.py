@@ -12,8 +12,10 @@ from confluo.functions import text as T
 from confluo.operators import entities, evaluate, gold, linking, lookup, quality
 from confluo.operators.graph import components
 from confluo.operators.standardise import numbered, union_sources
+from confluo.plans import resolution
 from confluo.session import table
-from confluo.sources import fixtures
+from confluo.sources import fixtures, population
+from confluo.sources.systems import truth
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -361,6 +363,27 @@ def generated_customers(spark, d):
     return fixtures.crm(fixtures.customers(spark, 1000))
 
 
+@query()
+def generated_sales(spark, d):
+    """Tickets whose quantities add up to each event's attendance."""
+    people = fixtures.customers(spark, 1000)
+    return population.shop(people, fixtures.crm(people), fixtures.events(spark, 4))
+
+
+@query()
+def golden_records(spark, d):
+    """All systems of a population, from raw rows to golden records."""
+    run = resolution.resolve(resolution.silver(resolution.generated(spark, 200, 2, 400, 60, 180)))
+    return resolution.golden(run)["master"]
+
+
+@query()
+def linkage_quality(spark, d):
+    """Quality after the exact and after the fuzzy stage."""
+    raw = resolution.generated(spark, 200, 2, 400, 60, 180)
+    return resolution.stage_quality(resolution.resolve(resolution.silver(raw)), truth(raw))
+
+
 @query()
 def cluster_maps(spark, d):
     """One graph text per entity."""

@@ -188,7 +188,3 @@ def stage_quality(run: Resolved, truth: DataFrame) -> DataFrame:
     stages = {"deterministic": "deterministic_cluster_id", "final": "ucr_id"}
     out = [evaluate.cluster_metrics(m.select(F.col(c).alias("cluster"), F.col("ground_truth_id").alias("truth"))).select(F.lit(s).alias("stage"), "*") for s, c in stages.items()]
     return out[0].unionByName(out[1])
-
-
-def truth_of(raw: dict[str, DataFrame]) -> DataFrame:
-    return systems.truth(raw)

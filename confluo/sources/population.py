@@ -172,26 +172,22 @@ def wrong_digit(c: Column, u: Column) -> Column:
     return F.concat(F.substring(c, F.lit(1), F.length(c) - 1), ((F.right(c, F.lit(1)).cast("int") + 1 + F.floor(u * 9)) % 10).cast("string"))
 
 
-def _start(rows: int, members: DataFrame, copies: str) -> tuple[DataFrame, DataFrame]:
-    """One row for every member and numbered rows for the rest."""
-    first = members.withColumn(copies, F.lit(0).cast("long"))
-    rest = max(rows - members.count(), 0)
-    return first, members.sparkSession.range(1, rest + 1).withColumnRenamed("id", copies)
-
-
-def _repeated(population: DataFrame, crm_rows: DataFrame, rows: int, share: float, seed: int) -> DataFrame:
-    """Every customer of the system once, and further rows by weight, to ``rows``."""
+def _repeated(population: DataFrame, crm_rows: DataFrame, rows: int, share: float, seed: int, seen: DataFrame | None = None) -> DataFrame:
+    """Every customer of the system once, unless already ``seen``, and further rows by
+    weight, to ``rows``; more than that if there are more customers."""
     members = people(population, crm_rows, share, seed)
-    first, more = _start(rows, members, "copy")
+    first = (members if seen is None else members.join(seen, "ground_truth_id", "left_anti")).withColumn("copy", F.lit(0).cast("long"))
+    more = members.sparkSession.range(1, max(rows - first.count(), 0) + 1).withColumnRenamed("id", "copy")
     return first.drop("class", "place").unionByName(choose(more, members, class_cells(members, ACTIVITY), [], seed + 2, "copy"))
 
 
 def online(population: DataFrame, crm_rows: DataFrame, sales: DataFrame, rows: int = 40_000, seed: int = 201, share: float = 1.0) -> DataFrame:
-    """Sessions: a converted one for a share of all sales, and browsing up to ``rows``."""
+    """Sessions: a converted one for a share of all sales, one for every other customer,
+    and browsing by weight up to ``rows``."""
     portals = crm_rows.where("portal_user_id <> ''").groupBy("ground_truth_id").agg(F.min("portal_user_id").alias("portal"))
     bought = sales.where(draw(seed, "transaction_id") < ONLINE_SHARE).select("ground_truth_id", "transaction_id", F.to_timestamp("transaction_date_time").alias("_end"), (F.col("guest_transaction") == "true").alias("_guest"))
     bought = bought.join(population.select("ground_truth_id", "customer_segment"), "ground_truth_id").join(portals, "ground_truth_id", "left").withColumn("copy", F.xxhash64("transaction_id"))
-    browsing = _repeated(population, crm_rows, max(rows - bought.count(), 0), share, seed + 1).withColumn("transaction_id", F.lit(""))
+    browsing = _repeated(population, crm_rows, max(rows - bought.count(), 0), share, seed + 1, bought.select("ground_truth_id")).withColumn("transaction_id", F.lit(""))
     key = ("ground_truth_id", "copy", "transaction_id")
     u = lambda k: draw(seed + 10 + k, *key)
     browsing = browsing.withColumns({"_end": moment(day_between(F.col("registration_date").cast("date"), F.lit("2025-12-30").cast("date"), u(0)), u(1)), "_guest": F.col("portal").isNull() | (u(2) < PORTAL_GUEST_SESSIONS)})

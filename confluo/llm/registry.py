@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from confluo.llm import mixing
+from confluo.llm import mixing, oracles
 from confluo.llm.embeddings import op8_embeddings
 from confluo.llm.licenses import op2_licenses
 from confluo.llm.media import op7_media
@@ -26,4 +26,4 @@ QUERIES = {f.__name__: f for f in (
     op6_secrets, op7_media, op8_embeddings, op9_simhash, op10_suffix_dedup, pipeline,
 )}
 
-ORACLE_SQL = {"op1_mixing": mixing.ORACLE_SQL}
+ORACLE_SQL = {"op1_mixing": mixing.ORACLE_SQL, "op8_embeddings": oracles.EMBEDDINGS, "op10_suffix_dedup": oracles.SUFFIX_DEDUP}

@@ -2,8 +2,9 @@
 
 Licence templates are indexed by word and position.  Document frequencies of the
 templates' words over the whole corpus give their inverse document frequencies.  For
-each file the highest of its licence words are looked up; the places where their
-postings agree on one relative position are alignments of a template.  An alignment
+each file and template the highest of the template's words in the file are looked up;
+the places where their postings agree on one relative position are alignments of the
+template.  An alignment
 counts if the words there cover the template by weight and every mandatory key
 phrase stands inside it.  All of it is DataFrame expressions within a row; what is
 shared is one count per template word, a number fixed by the templates.
@@ -40,8 +41,8 @@ TEMPLATES = (
     ("reserved", "all rights reserved", ("all rights reserved",)),
 )
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Licence words looked up per file, words intersected per template, least cover.
-LOOKED_UP, INTERSECTED, COVER = 12, 3, 0.8
+#: Words looked up and intersected per template, least cover.
+INTERSECTED, COVER = 3, 0.8
 
 
 def normal_words(text: Column) -> Column:
@@ -79,10 +80,10 @@ def _places(words: Column, phrase: list[str]) -> Column:
     return F.filter(at, all_of)
 
 
-def _alignments(words: Column, hits: Column, top: Column, notice: list[str], idf: dict[str, float], mandatory: tuple[str, ...]) -> Column:
+def _alignments(words: Column, hits: Column, notice: list[str], idf: dict[str, float], mandatory: tuple[str, ...]) -> Column:
     """Best cover of one template over its alignments in the file, 0 if none."""
     own = sorted(set(notice), key=lambda w: (-idf[w], w))
-    looked = F.slice(F.array_intersect(top, _strings(own)), 1, INTERSECTED)
+    looked = F.slice(F.array_intersect(_strings(own), words), 1, INTERSECTED)
 
     def offsets(word: Column) -> Column:
         lists = None
@@ -116,7 +117,6 @@ def _alignments(words: Column, hits: Column, top: Column, notice: list[str], idf
 def license_scan(docs: DataFrame) -> DataFrame:
     """``docs`` with n_words, n_base, first_word, last_word, base_labels, labels, score."""
     idf = inverse_frequencies(docs)
-    by_weight = sorted(idf, key=lambda w: (-idf[w], w))
     d = docs.withColumn("_norm", normal_words(F.col("text")))
     padded = F.concat(F.lit(" "), F.col("_norm"), F.lit(" "))
     phrases = list(dict.fromkeys([p for p, _ in BASE] + [p for *_, m in TEMPLATES for p in m]))
@@ -128,13 +128,12 @@ def license_scan(docs: DataFrame) -> DataFrame:
     for k, (phrase, _) in enumerate(BASE):
         d = d.withColumn(f"_b{k}", F.when(words.isNotNull() & F.contains("_padded", F.lit(f" {phrase} ")), _places(words, phrase.split())).otherwise(F.array().cast("array<int>")))
     places = F.concat(*[F.col(f"_b{k}") for k in range(len(BASE))])
-    d = d.withColumn("_top", F.when(words.isNotNull(), F.slice(F.array_intersect(_strings(by_weight), words), 1, LOOKED_UP)))
-    d = d.withColumn("_hits", F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains(F.col("_top"), x["w"])))
+    d = d.withColumn("_hits", F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains(_strings(vocabulary()), x["w"])))
     for k, (_, notice, mandatory) in enumerate(TEMPLATES):
         worth = words.isNotNull()
         for p in mandatory:
             worth = worth & F.contains("_padded", F.lit(f" {p} "))
-        d = d.withColumn(f"_t{k}", F.when(worth, _alignments(words, F.col("_hits"), F.col("_top"), notice.split(), idf, mandatory)).otherwise(0.0))
+        d = d.withColumn(f"_t{k}", F.when(worth, _alignments(words, F.col("_hits"), notice.split(), idf, mandatory)).otherwise(0.0))
     based = F.array_compact(F.array(*[F.when(F.size(f"_b{k}") > 0, F.lit(label)) for k, (_, label) in enumerate(BASE)]))
     found = F.array_compact(F.array(*[F.when(F.col(f"_t{k}") >= COVER, F.lit(label)) for k, (label, *_) in enumerate(TEMPLATES)]))
     best = F.greatest(*[F.col(f"_t{k}") for k in range(len(TEMPLATES))])

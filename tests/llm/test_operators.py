@@ -67,6 +67,12 @@ def test_licenses(docs, empty):
     assert licenses.license_scan(empty).count() == 0
 
 
+def test_licenses_finds_every_notice_of_one_file(spark):
+    rows = [(1, " some words between ".join(notice for _, notice, _ in licenses.TEMPLATES)), (2, "nothing here")]
+    r = {x.doc_id: x for x in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(r[1].labels.split(",")) == {"cc-by"} | {label for label, *_ in licenses.TEMPLATES} and r[2].labels == ""
+
+
 def test_token_counts_and_ids(docs, empty, real):
     from tokenizers import Tokenizer
 

@@ -2,12 +2,13 @@
 
 Licence templates are indexed by word and position.  Document frequencies of the
 templates' words over the whole corpus give their inverse document frequencies.  For
-each file and template the highest of the template's words in the file are looked up;
-the places where their postings agree on one relative position are alignments of the
-template.  An alignment
-counts if the words there cover the template by weight and every mandatory key
-phrase stands inside it.  All of it is DataFrame expressions within a row; what is
-shared is one count per template word, a number fixed by the templates.
+each file and template the template's words in the file are looked up, the highest
+first; each relative position that a posting of any of them gives and that leaves the
+first mandatory phrase inside is an alignment of the template, so no alignment with a
+matching word is passed over.  An alignment counts if the words there cover the
+template by weight and every mandatory key phrase stands inside it.  All of it is
+DataFrame expressions within a row; what is shared is one count per template word, a
+number fixed by the templates.
 
 Defined cases: a null or empty text has no words and score 0; a null id stays null;
 repeated rows are scanned row by row; extra columns are ignored; an empty table gives
@@ -41,8 +42,8 @@ TEMPLATES = (
     ("reserved", "all rights reserved", ("all rights reserved",)),
 )
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Words looked up and intersected per template, least cover.
-INTERSECTED, COVER = 3, 0.8
+#: Least cover.
+COVER = 0.8
 
 
 def normal_words(text: Column) -> Column:
@@ -83,7 +84,8 @@ def _places(words: Column, phrase: list[str]) -> Column:
 def _alignments(words: Column, hits: Column, notice: list[str], idf: dict[str, float], mandatory: tuple[str, ...]) -> Column:
     """Best cover of one template over its alignments in the file, 0 if none."""
     own = sorted(set(notice), key=lambda w: (-idf[w], w))
-    looked = F.slice(F.array_intersect(_strings(own), words), 1, INTERSECTED)
+    looked = F.array_intersect(_strings(own), words)
+    phrase = mandatory[0].split()
 
     def offsets(word: Column) -> Column:
         lists = None
@@ -93,8 +95,8 @@ def _alignments(words: Column, hits: Column, notice: list[str], idf: dict[str, f
         mine = F.filter(hits, lambda h: h["w"] == word)
         return F.array_distinct(F.flatten(F.transform(mine, lambda h: F.transform(lists, lambda q: h["i"] - q))))
 
-    rest = F.slice(looked, 2, INTERSECTED)
-    agreed = F.aggregate(rest, offsets(F.get(looked, F.lit(0))), lambda acc, w: F.array_intersect(acc, offsets(w)))
+    inside = F.array_distinct(F.flatten(F.transform(_places(words, phrase), lambda p: F.sequence(p - (len(notice) - len(phrase)), p))))
+    proposed = F.array_intersect(inside, F.flatten(F.transform(looked, offsets)))
     weights = F.split(F.lit(",".join(f"{idf[w]:.12g}" for w in notice)), ",").cast("array<double>")
     total = sum(idf[w] for w in notice)
     template = _strings(notice)
@@ -111,7 +113,7 @@ def _alignments(words: Column, hits: Column, notice: list[str], idf: dict[str, f
             verified = verified & F.contains(joined, F.lit(f" {phrase} "))
         return F.when(verified, matched / total).otherwise(0.0)
 
-    return F.coalesce(F.when(F.size(looked) > 0, F.array_max(F.transform(agreed, cover))), F.lit(0.0))
+    return F.coalesce(F.when(F.size(looked) > 0, F.array_max(F.transform(proposed, cover))), F.lit(0.0))
 
 
 def license_scan(docs: DataFrame) -> DataFrame:

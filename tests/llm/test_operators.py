@@ -73,6 +73,29 @@ def test_licenses_finds_every_notice_of_one_file(spark):
     assert set(r[1].labels.split(",")) == {"cc-by"} | {label for label, *_ in licenses.TEMPLATES} and r[2].labels == ""
 
 
+def brute_cover(text, notice, mandatory, idf):
+    w, own = text.split(), notice.split()
+    best, total = 0.0, sum(idf[x] for x in own)
+    for o in range(1 - len(own), len(w)):
+        window = [w[o + j] if 0 <= o + j < len(w) else None for j in range(len(own))]
+        joined = " " + " ".join(x for x in window if x) + " "
+        if all(f" {p} " in joined for p in mandatory):
+            best = max(best, sum(idf[a] for a, b in zip(own, window) if a == b) / total)
+    return best
+
+
+def test_licenses_of_approximate_notices(spark):
+    texts = ["licensed under the apache license version 2", "licensed under the apache license version 2 and then 0", "0 2 licensed under the apache license and version 2 0 but not here"]
+    texts += ["subject to the terms of the mozilla public license v 2 0 code form source", "filler words"] + ["filler"] * 60
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    idf, r = licenses.inverse_frequencies(df), {x.doc_id: x for x in licenses.license_scan(df).collect()}
+    for i, text in enumerate(texts[:5]):
+        cover = [brute_cover(text, notice, mandatory, idf) for _, notice, mandatory in licenses.TEMPLATES]
+        assert abs(r[i].score - max(cover)) < 1e-9
+        assert set(filter(None, r[i].labels.split(","))) == {label for (label, *_), c in zip(licenses.TEMPLATES, cover) if c >= 0.8}
+    assert r[1].labels == "apache-2.0"
+
+
 def test_token_counts_and_ids(docs, empty, real):
     from tokenizers import Tokenizer
 

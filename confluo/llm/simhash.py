@@ -11,6 +11,10 @@ Equal fingerprints are one entry of the index.  Lists longer than ``TILE`` are d
 into pairs of blocks, so no task holds a list whole and no pair is skipped; a tile
 hands on a spanning forest of its links and never the pairs.
 
+The pipeline keeps one document of each component under another rule, Jaccard
+similarity of five-word shingles (``keep_one``): bands of least hashes propose groups,
+and every pair inside a group is checked on its shingles.
+
 Defined cases: a null or empty text has fingerprint zero, linked like any other; a
 null id is kept in the result but cannot name a component; repeated rows share a
 component; extra columns are ignored; an empty table gives no rows.
@@ -32,6 +36,11 @@ from confluo.llm.graph import components
 MAX_BITS = 4
 MIN_SHARED = 8 - MAX_BITS
 TILE = 512
+#: Of ``keep_one``: words of a shingle, least Jaccard similarity; bands of least hashes
+#: and hashes in each, so that a pair at 0.8 shares no band with probability
+#: (1 - 0.8 ** 5) ** 40, about 1.3e-7; sets of a block.
+WORDS, SIMILARITY = 5, 0.8
+BANDS, ROWS, BLOCK = 40, 5, 256
 
 
 def position_triples() -> list[tuple[int, int, int]]:
@@ -166,21 +175,126 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return rows.join(named, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def shingles(text: str | None, words: int = WORDS, seed: int = 42) -> np.ndarray:
+    """The sorted distinct hashes of the word shingles of a text; a shorter text is
+    one shingle, a text without words has none."""
+    tokens = (text or "").encode().lower().split()
+    if not tokens:
+        return np.zeros(0, np.uint64)
+    whole, n = b" ".join(tokens), max(len(tokens) - words + 1, 1)
+    ends = np.cumsum([len(t) + 1 for t in tokens])
+    starts = np.concatenate(([0], ends[: n - 1])).tolist()
+    h = xxhash.xxh3_64_intdigest
+    return np.unique(np.array([h(whole[a:b], seed) for a, b in zip(starts, (ends[min(words, len(tokens)) - 1 :] - 1).tolist())], np.uint64))
+
+
+_FACTORS = np.random.default_rng(42).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def band_keys(found: np.ndarray) -> np.ndarray:
+    """One key per band: a hash of the band's number and its least hashes."""
+    if not len(found):
+        return np.zeros(0, np.int64)
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(found), 512):
+        part = found[None, at : at + 512] * _FACTORS[0][:, None]
+        part ^= part >> np.uint64(32)
+        part *= _FACTORS[1][:, None]
+        np.minimum(low, part.min(axis=1), out=low)
+    rows = low.reshape(BANDS, ROWS)
+    return np.array([xxhash.xxh3_64_intdigest(r.tobytes(), i) for i, r in enumerate(rows)], np.uint64).view(np.int64)
+
+
+def _signatures(batches):
+    for whole in batches:
+        for at in range(0, whole.num_rows, 1000):
+            batch = whole.slice(at, 1000)
+            sets = [shingles(t) for t in batch.column(2).to_pylist()]
+            names = pa.array(np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64))
+            bands = pa.array([band_keys(x) for x in sets], pa.list_(pa.int64()))
+            yield pa.record_batch([batch.column(0), batch.column(1), names, bands], ["doc_id", "print", "set", "bands"])
+
+
+def similar(sets: list[np.ndarray], least: float = SIMILARITY) -> np.ndarray:
+    """Boolean matrix of the pairs of sets whose Jaccard similarity is at least ``least``."""
+    sizes = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    first = np.cumsum(count) - count
+    members = owner[np.argsort(place, kind="stable")]
+    out, at = np.zeros((len(sets), len(sets)), bool), np.cumsum(sizes) - sizes
+    for i, n in enumerate(sizes):
+        mine = place[at[i] : at[i] + n]
+        mine = mine[count[mine] > 1]
+        widths = count[mine]
+        hit = np.repeat(first[mine] - np.cumsum(widths) + widths, widths) + np.arange(widths.sum())
+        shared = np.bincount(members[hit], minlength=len(sets))
+        out[i] = shared >= least * (n + sizes - shared) - 1e-9
+    return out
+
+
+def _similar_edges(batches):
+    """Rows (group, lo, hi, set, text) sorted by the first three."""
+    names: dict[int, str] = {}
+    last = None
+
+    def flush():
+        if len(names) < 2:
+            return None
+        keys = sorted(names)
+        found = forest(np.array(keys, np.int64), similar([shingles(names[k]) for k in keys]))
+        u, v = zip(*found) if found else ((), ())
+        return pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    for batch in batches:
+        for *key, name, text in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            if key != last:
+                if (out := flush()) is not None:
+                    yield out
+                names, last = {}, key
+            names[name] = text
+    if (out := flush()) is not None:
+        yield out
+
+
+def similar_edges(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(u, v) links that connect the sets of ``classes`` (set, print, bands) at
+    ``SIMILARITY`` or more.  Sets with a band in common fall into one group; inside a
+    group, dealt into pairs of blocks, every pair is compared on its shingles."""
+    postings = classes.select("set", F.explode("bands").alias("key"))
+    lists = postings.groupBy("key").agg(F.count("*").alias("size"), F.min("set").alias("head")).where("size > 1").select("key", "head")
+    grouped = common.materialise(components(postings.join(lists, "key").select("set", "head"), "set", "head").toDF("set", "group"), "groups")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("long")
+    sized = grouped.join(grouped.groupBy("group").agg(F.count("*").alias("size")), "group").withColumn("block", F.pmod(F.xxhash64("set"), blocks))
+    placed = common.materialise(sized.join(classes.select("set", "print"), "set"), "placed")
+    text = docs.select(F.xxhash64(F.col("text").cast("string")).alias("print"), F.col("text").cast("string").alias("text"))
+    wanted = placed.select("print").distinct()
+    texts = text.join(wanted, "print", "left_semi").groupBy("print").agg(F.first("text").alias("text"))
+    tiles = (
+        placed.join(texts, "print")
+        .select("group", "block", "set", "text", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
+        .select("group", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "set", "text")
+    )
+    dealt = tiles.repartition("group", "lo", "hi").sortWithinPartitions("group", "lo", "hi")
+    return dealt.mapInArrow(_similar_edges, "u long, v long")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each component of ``docs``, the one with the least id; all columns.
-    Rows without an id stay only where no row of their component has one, once each."""
-    rows = common.materialise(fingerprints(docs), "fingerprints")
-    named = _classes(rows)
-    first = named.where("component_id is not null").select(F.col("component_id").alias("doc_id")).distinct()
-    kept = docs.join(common.materialise(first, "kept"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    bare = docs.where("doc_id is null")
-    if bare.isEmpty():
-        return kept
-    bare = bare.withColumn("_text", F.xxhash64("text"))
-    prints = fingerprints(bare.select(F.col("_text").alias("doc_id"), "text")).dropDuplicates(["doc_id"]).toDF("_text", "_fp")
-    lone = named.where("component_id is null").select(F.col("fp").alias("_fp"), F.col("component").alias("_component"))
-    once = bare.join(prints, "_text").join(lone, "_fp").dropDuplicates(["_component"])
-    return kept.unionByName(once.select(*docs.columns))
+    """One row of each component of ``docs`` under shingle similarity, the one with the
+    least id (one without an id only where no row of the component has one); all
+    columns.  Rows are told apart by id and text, so clashing ids do no harm."""
+    common.ship(docs.sparkSession)
+    text = F.col("text").cast("string")
+    sent = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("print"), text.alias("text"))
+    rows = common.materialise(sent.mapInArrow(_signatures, "doc_id long, print long, set long, bands array<long>"), "signatures")
+    order = F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "print")
+    classes = common.materialise(rows.groupBy("set").agg(F.min(order).alias("least"), F.min("print").alias("print"), F.first("bands").alias("bands")), "sets")
+    found = components(common.materialise(similar_edges(docs, classes), "similar")).toDF("set", "component")
+    member = classes.select("set", "least").join(found, "set", "left").withColumn("component", F.coalesce("component", "set"))
+    first = member.groupBy("component").agg(F.min("least").alias("least"))
+    first = common.materialise(first.select(F.col("component").alias("_component"), F.col("least.doc_id").alias("_id"), F.col("least.print").alias("_print")), "kept")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_print"))
+    return docs.join(first, same).dropDuplicates(["_component"]).select(*docs.columns)
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:

@@ -252,6 +252,31 @@ def test_simhash(spark, docs, empty, real):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).count() == 0
 
 
+def test_keep_one_links_by_shingle_similarity(spark, monkeypatch):
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    rows, sets = [], []
+    for _ in range(25):
+        base = [word() for _ in range(120)]
+        for changes in (0, 0, 1, 2, 2, 3, 4):
+            copy = list(base)
+            for at in rng.sample(range(120), changes):
+                copy[at] = word()
+            rows.append((len(rows), " ".join(copy)))
+            sets.append({tuple(copy[i : i + 5]) for i in range(116)})
+    root = list(range(len(rows)))
+    find = lambda a: a if root[a] == a else find(root[a])
+    for a, b in combinations(range(len(rows)), 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            lo, hi = sorted((find(a), find(b)))
+            root[hi] = lo
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (None, 3):
+        if block:
+            monkeypatch.setattr(simhash, "BLOCK", block)
+        assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == sorted({find(i) for i in range(len(rows))})
+
+
 def removed(parts):
     seen = {}
     for b in parts:

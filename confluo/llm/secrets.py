@@ -1,7 +1,7 @@
 """Operator 6, secret scans: patterns plus two character Markov models.
 
-Three fixed patterns give the base spans.  Candidate runs outside them are scored by
-the log-likelihood ratio, per character, of a Markov model of random strings against
+Three fixed patterns give the base spans.  They are cut out of the candidate runs, and
+each piece left that is long enough is scored by the log-likelihood ratio, per character, of a Markov model of random strings against
 one of ordinary identifiers.  Both are trained on labelled samples: the strings that
 the base patterns match are random, the words around them are ordinary.  At most
 ``SAMPLE`` documents with a base match, first by hash of their id, train the models;
@@ -34,6 +34,7 @@ _FIRST = {"access": r"AKIA[A-Z0-9]{12}", "hex": r"[0-9a-f]{32}"}
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 IDENTIFIER = r"[A-Za-z0-9_]{4,}"
+LEAST = 20
 SAMPLE = 1000
 #: Least log-likelihood ratio per step, in nats.
 THRESHOLD = 0.3
@@ -110,7 +111,8 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> list[float] | None:
 
 
 def markov_spans(text: Column, base: Column, ratios: list[float] | None, threshold: float = THRESHOLD) -> Column:
-    """Candidate runs outside the base spans whose mean ratio reaches the threshold."""
+    """Pieces of candidate runs outside the base spans whose mean ratio reaches the
+    threshold; ``base`` is sorted."""
     if ratios is None:
         return _none()
     table = F.split(F.lit(",".join(f"{x:.6g}" for x in ratios)), ",").cast("array<double>")
@@ -123,8 +125,18 @@ def markov_spans(text: Column, base: Column, ratios: list[float] | None, thresho
         add = lambda acc, c: F.struct(c.alias("last"), (acc["sum"] + F.when(acc["last"] < 0, 0.0).otherwise(F.get(table, acc["last"] * size + c))).alias("sum"))
         return F.aggregate(codes, zero, add, lambda acc: acc["sum"]) / (F.length(run) - 1)
 
-    spans = _found(text, len(BASE), "markov", CANDIDATE, 0, 20)
-    free = F.filter(spans, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    def pieces(s: Column) -> Column:
+        def add(out: Column, at: Column, end: Column) -> Column:
+            piece = F.struct(at.alias("start"), s["ord"].alias("ord"), end.alias("end"), s["kind"].alias("kind"))
+            return F.when(end - at >= LEAST, F.concat(out, F.array(piece))).otherwise(out)
+
+        def cut(acc: Column, b: Column) -> Column:
+            return F.struct(F.greatest(acc["at"], b["end"]).alias("at"), add(acc["out"], acc["at"], F.least(b["start"], s["end"])).alias("out"))
+
+        whole = F.struct(s["start"].alias("at"), _none().alias("out"))
+        return F.aggregate(base, whole, cut, lambda acc: add(acc["out"], acc["at"], s["end"]))
+
+    free = F.flatten(F.transform(_found(text, len(BASE), "markov", CANDIDATE, 0, LEAST), pieces))
     return F.when(text.rlike(CANDIDATE), F.filter(free, lambda s: mean_ratio(_piece(text, s)) >= threshold)).otherwise(_none())
 
 

@@ -294,6 +294,12 @@ def test_keep_one_links_by_shingle_similarity(spark, monkeypatch):
         assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == sorted({find(i) for i in range(len(rows))})
 
 
+def test_keep_one_with_clashing_ids(spark):
+    rows = [(1, "a b c d e f g"), (1, "t u v w x y z"), (2, "t u v w x y z"), (3, "a b c d e f g")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(tuple(r) for r in kept) == rows[:2]
+
+
 def removed(parts):
     seen = {}
     for b in parts:

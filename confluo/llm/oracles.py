@@ -17,7 +17,7 @@ SELECT r.u AS vec_id, coalesce(any_value(n.n), 0) AS n_links, min(r.w) AS compon
 FROM r LEFT JOIN n ON n.u = r.u GROUP BY r.u
 """
 
-SUFFIX_DEDUP = """
+SUFFIX_DEDUP = r"""
 WITH d AS (
   SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n_bytes FROM documents
 ), p AS (
@@ -40,7 +40,19 @@ WITH d AS (
   SELECT doc_id, sum(z - a) AS n_removed, count(*) AS n_spans,
     string_agg(substr(h, 2 * before + 1, 2 * (a - before)) || CASE WHEN ends THEN substr(h, 2 * z + 1) ELSE '' END, '' ORDER BY a) AS kept
   FROM t GROUP BY doc_id
+), w AS (
+  SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i, len(w) AS n FROM (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents) WHERE len(w) > 50
+), wk AS (
+  SELECT doc_id, i, n, md5(string_agg(w, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 50 FOLLOWING)) AS k FROM w
+), wm AS (
+  SELECT k FROM wk WHERE i <= n - 50 GROUP BY k HAVING count(*) > 1
+), wl AS (
+  SELECT doc_id, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 51) AS ahead FROM wk JOIN wm USING (k) WHERE i <= n - 50
+), wc AS (
+  SELECT doc_id, sum(least(51, ahead)) AS repeated_words FROM wl GROUP BY doc_id
 )
-SELECT d.doc_id, n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
-FROM d LEFT JOIN c USING (doc_id)
+SELECT d.doc_id, n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256,
+  CAST(coalesce(repeated_words, 0) AS BIGINT) AS repeated_words
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN wc USING (doc_id)
 """

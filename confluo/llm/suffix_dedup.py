@@ -1,24 +1,24 @@
 """Operator 10, suffix-array dedup: a logarithmic index family over long matches.
 
-A byte goes if a window of ``WINDOW`` bytes that covers it starts anywhere else too.
-
-Every window has one minimiser: the least hash among the ``GRAM``-byte strings in it.
-Equal windows have equal minimisers, so only windows of one minimiser can match.  A
-run of windows with one minimiser in a document is a context.  Counts over all
-documents tell which minimisers occur twice; a fixed-size bit filter hands them to a
-second reading of the documents, which writes the contexts of those (and, by chance,
-of a few more, which then match nothing).
-
-The contexts of a minimiser go to one task, in batches.  Each batch gets a suffix
-array, by doubling ranks of prefixes up to the window's length; the batch enters the
-lowest level of an index, and levels of equal size merge into one of twice the size.
-A merge scans both levels in their common order, and neighbours that agree over a
-whole window mark it in both.  When a minimiser's contexts end, the remaining levels
-merge, so every two batches have met.
+A byte goes if a window of 400 bytes that covers it starts anywhere else too.  Words
+inside a window of 51 words that starts anywhere else too are counted beside it and
+stay: passages of over fifty words that are shorter than 400 bytes show there.
+
+Every window has one minimiser: the least hash among the short strings in it.  Equal
+windows have equal minimisers, so only windows of one minimiser can match.  A run of
+windows with one minimiser in a document is a context.  Counts over all documents tell
+which minimisers occur twice; a bit filter hands them to a second reading of the
+documents, which writes the contexts of those (and, by chance, of a few more, which
+then match nothing).
+
+Minimisers are dealt into shards of about ``SHARD_BYTES`` of contexts, whose number
+grows with the input.  A task takes a shard's contexts as they arrive, in batches of
+``BATCH_BYTES``; each batch gets a suffix array, is scanned against the levels of the
+shard's index family and joins them (``suffix_index``).
 
 Equal contexts are one entry, with its number of rows.  A minimiser with more than
-``LIMIT`` different contexts is not held by one task: its windows are counted by
-128-bit digests in an ordinary aggregation, which is exact for them too.
+``LIMIT`` different contexts could outgrow a task: its windows are counted by 128-bit
+digests in an ordinary aggregation instead, which is exact for them too.
 
 Defined cases: a null or empty text, or one shorter than the window, loses nothing;
 a null id stays null; repeated rows lose everything if they are long enough; extra
@@ -36,305 +36,235 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from confluo.llm import bloom, common
+from confluo.llm import suffix_index as X
 
-WINDOW, GRAM = 400, 64
-LIMIT = 512
-BATCH_BYTES = 1 << 20
-_ONE, _TWO = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-
-
-def _loads(data: np.ndarray, order: str = "<u8") -> np.ndarray:
-    """The eight bytes from each position as a number."""
-    return np.ndarray((len(data) - 7,), order, data.tobytes(), 0, (1,)).astype(np.uint64)
-
-
-def grams(data: np.ndarray, length: int = GRAM, factor: np.uint64 = _ONE) -> np.ndarray:
-    """A hash of the ``length`` bytes (8 times a power of two) from each position."""
-    with np.errstate(over="ignore"):
-        h, span = _loads(data) * factor, 8
-        h ^= h >> np.uint64(31)
-        while span < length:
-            h = h[:-span] * factor + h[span:]
-            factor, span = factor * factor + np.uint64(2), span * 2
-        h ^= h >> np.uint64(32)
-        h *= _TWO
-        h ^= h >> np.uint64(29)
-    return h
-
-
-def window_digests(data: np.ndarray, factor: np.uint64) -> np.ndarray:
-    h = grams(data, 256, factor)
-    with np.errstate(over="ignore"):
-        return h[: len(data) - WINDOW + 1] * (factor | np.uint64(1)) + (h[WINDOW - 256 :] ^ (h[WINDOW - 256 :] >> np.uint64(23))) * _TWO
-
-
-def contexts(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows of one minimiser, from the hashes of a document's strings:
-    keys, first starts, ends (exclusive)."""
-    width, span = WINDOW - GRAM + 1, 1
-    low = h
-    while span * 2 <= width:
-        low, span = np.minimum(low[:-span], low[span:]), span * 2
-    rest = width - span
-    low = np.minimum(low[: len(low) - rest], low[rest:])
-    first = np.concatenate(([0], np.flatnonzero(low[1:] != low[:-1]) + 1))
-    return low[first], first, np.append(first[1:], len(low))
-
-
-def inner(h: np.ndarray, keys, first, end) -> np.ndarray:
-    """Marks the runs in whose bytes the minimiser stands more than once."""
-    width = WINDOW - GRAM
-    return np.array([np.count_nonzero(h[a : b + width] == k) > 1 for k, a, b in zip(keys, first.tolist(), end.tolist())], bool)
-
-
-def _dense(x: np.ndarray) -> np.ndarray:
-    return np.unique(x, return_inverse=True)[1].astype(np.int64)
-
-
-def prefix_ranks(data: np.ndarray) -> np.ndarray:
-    """The order of the windows from each position: equal ranks, equal windows."""
-    ranks, span = _dense(_loads(data, ">u8")), 8
-    while span * 2 <= WINDOW:
-        ranks = _dense(ranks[:-span] * (int(ranks.max()) + 1) + ranks[span:])
-        span *= 2
-    rest = WINDOW - span
-    return _dense(ranks[: len(ranks) - rest] * (int(ranks.max()) + 1) + ranks[rest:])
-
-
-class Level:
-    """A suffix array over the contexts of one or more batches, cut at the window."""
-
-    def __init__(self, parts: list[tuple[int, np.ndarray]], batches: int = 1):
-        self.parts, self.batches = parts, batches
-        data = np.concatenate([d for _, d in parts])
-        sizes = np.array([len(d) for _, d in parts])
-        starts = np.cumsum(sizes) - sizes
-        self.owner = np.repeat(np.arange(len(parts)), sizes - WINDOW + 1)
-        self.start = np.concatenate([np.arange(n - WINDOW + 1) for n in sizes])
-        ranks = prefix_ranks(data)[starts[self.owner] + self.start]
-        self.order = np.argsort(ranks, kind="stable")
-        self.ranks = ranks
-
-    def repeated(self) -> np.ndarray:
-        """Marks the windows that a neighbour in the order equals."""
-        sorted_ranks = self.ranks[self.order]
-        same = sorted_ranks[1:] == sorted_ranks[:-1]
-        out = np.zeros(len(self.order), bool)
-        out[self.order[1:][same]] = True
-        out[self.order[:-1][same]] = True
-        return out
-
-
-class Family:
-    """The levels; ``found`` gathers (context number -> marked window starts)."""
-
-    def __init__(self):
-        self.levels: list[Level] = []
-        self.marks: dict[int, np.ndarray] = {}
-
-    def _scan(self, level: Level) -> None:
-        marked = level.repeated()
-        cut = np.flatnonzero(np.diff(level.owner)) + 1
-        for (number, _), m in zip(level.parts, np.split(marked, cut)):
-            self.marks[number] = self.marks[number] | m if number in self.marks else m
-
-    def add(self, parts: list[tuple[int, np.ndarray]]) -> None:
-        level = Level(parts)
-        self._scan(level)
-        while self.levels and self.levels[-1].batches <= level.batches:
-            below = self.levels.pop()
-            level = Level(below.parts + level.parts, below.batches + level.batches)
-            self._scan(level)
-        self.levels.append(level)
-
-    def finish(self) -> dict[int, np.ndarray]:
-        while len(self.levels) > 1:
-            a, b = self.levels.pop(), self.levels.pop()
-            self.levels.append(Level(b.parts + a.parts, a.batches + b.batches))
-            self._scan(self.levels[-1])
-        self.levels = []
-        return self.marks
-
-
-def _spans(marks: np.ndarray) -> list[dict]:
-    """Byte ranges covered by the marked window starts."""
+LIMIT = 4096
+BATCH_BYTES, SHARD_BYTES = 1 << 19, 4 << 20
+_ROWS = 500
+
+
+def _slices(batches):
+    for whole in batches:
+        for at in range(0, whole.num_rows, _ROWS):
+            yield whole.slice(at, _ROWS)
+
+
+def _keys(batches):
+    """The minimisers of each text, those that stand in one context twice, twice."""
+    for batch in _slices(batches):
+        out = [np.zeros(0, np.uint64)]
+        for text in batch.column(0).to_pylist():
+            raw = (text or "").encode()
+            for unit in X.UNITS:
+                symbols = unit.symbols(raw)
+                if len(symbols) >= unit.window:
+                    h = X.grams(unit, symbols)
+                    runs = X.contexts(unit, h)
+                    out += [runs[0], runs[0][X.inner(unit, h, *runs)]]
+        yield pa.record_batch([pa.array(np.concatenate(out).view(np.int64))], ["key"])
+
+
+_CONTEXT = pa.list_(pa.struct([("unit", pa.int8()), ("start", pa.int32()), ("size", pa.int32()), ("key", pa.int64()), ("inner", pa.bool_()), ("digest", pa.binary())]))
+_ROW = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("sha", pa.string()), ("data", pa.binary()), ("contexts", _CONTEXT)])
+ROW_SCHEMA = "row long, doc_id long, n_bytes long, sha string, data binary, contexts array<struct<unit:byte,start:int,size:int,key:long,inner:boolean,digest:binary>>"
+
+
+def _part(unit: X.Unit, raw: bytes, words: list[bytes], start: int, size: int) -> bytes:
+    return raw[start : start + size] if unit is X.BYTES else b" ".join(words[start : start + size])
+
+
+def _rows(sent):
+    def run(batches):
+        bits, row = sent.value, TaskContext.get().partitionId() << 40
+        for batch in _slices(batches):
+            out: list[list] = [[] for _ in _ROW]
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                raw, some = (text or "").encode(), []
+                words = raw.split()
+                for unit in X.UNITS:
+                    symbols = unit.symbols(raw)
+                    if len(symbols) < unit.window:
+                        continue
+                    h = X.grams(unit, symbols)
+                    k, first, end = X.contexts(unit, h)
+                    hit = np.flatnonzero(bloom.may_hold(bits, k))
+                    k, first, end = k[hit], first[hit], end[hit]
+                    for key, a, b, own in zip(k.view(np.int64).tolist(), first.tolist(), end.tolist(), X.inner(unit, h, k, first, end).tolist()):
+                        size = b - a + unit.window - 1
+                        digest = hashlib.md5(b"%d" % unit.number + _part(unit, raw, words, a, size)).digest()
+                        some.append({"unit": unit.number, "start": a, "size": size, "key": key, "inner": own, "digest": digest})
+                whole = hashlib.sha256(raw).hexdigest() if not some else None
+                for column, value in zip(out, (row, doc_id, len(raw), whole, raw if some else None, some or None)):
+                    column.append(value)
+                row += 1
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(out, _ROW)], schema=_ROW)
+
+    return run
+
+
+def _pieces(batches):
+    """What the contexts hold, equal ones of a batch as one row with their number."""
+    for batch in _slices(batches):
+        seen: dict[tuple, list] = {}
+        for data, some in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            words = data.split()
+            for c in some:
+                key = (c["key"], c["digest"])
+                if key in seen:
+                    seen[key][1] += 1
+                    seen[key][2] |= c["inner"]
+                else:
+                    seen[key] = [c["unit"], 1, c["inner"], c["size"], _part(X.UNITS[c["unit"]], data, words, c["start"], c["size"])]
+        keys, digests = zip(*seen) if seen else ((), ())
+        columns = [keys, digests, *(zip(*seen.values()) if seen else [()] * 5)]
+        types = (pa.int64(), pa.binary(), pa.int8(), pa.int64(), pa.bool_(), pa.int32(), pa.binary())
+        yield pa.record_batch([pa.array(list(c), t) for c, t in zip(columns, types)], ["key", "digest", "unit", "n", "inner", "size", "data"])
+
+
+_SPAN_TYPE = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
+SPANS = "array<struct<s:int,e:int>>"
+
+
+def _spans(unit: X.Unit, marks: np.ndarray) -> list[dict]:
+    """Ranges of symbols covered by the marked window starts."""
     edge = np.flatnonzero(np.diff(np.concatenate(([0], marks.view(np.int8), [0]))))
     out: list[dict] = []
     for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
         if out and a <= out[-1]["e"]:
-            out[-1]["e"] = b - 1 + WINDOW
+            out[-1]["e"] = b - 1 + unit.window
         else:
-            out.append({"s": a, "e": b - 1 + WINDOW})
+            out.append({"s": a, "e": b - 1 + unit.window})
     return out
 
 
-_SPAN_TYPE = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
-
-
 def _match(batches):
-    """Rows (key, digest, data, inner) sorted by key; a family ends with the batch in which
-    a key ends."""
-
-    def flush(family: Family, names: list[bytes]):
-        marks = family.finish()
-        found = [(names[i], _spans(m)) for i, m in marks.items() if m.any()]
-        return pa.record_batch([pa.array([n for n, _ in found], pa.binary()), pa.array([s for _, s in found], _SPAN_TYPE)], ["digest", "spans"])
-
-    family, names, parts, size, last = Family(), [], [], 0, None
-    for batch in batches:
-        keys = batch.column(0).to_numpy()
-        # a context alone in its minimiser can only match itself; the ends of a batch
-        # may go on in the next one
-        edge = np.concatenate(([True], keys[1:] != keys[:-1], [True]))
-        alone = edge[1:] & edge[:-1] & ~batch.column(3).to_numpy(zero_copy_only=False)
-        alone[:1] = alone[-1:] = False
-        batch = batch.filter(pa.array(~alone))
-        for key, digest, data in zip(*(batch.column(i).to_pylist() for i in range(3))):
+    """Rows (unit, shard, key, digest, inner, data) sorted by unit and shard.  A shard's
+    contexts are held while its family is built."""
+
+    def flush(unit: X.Unit, rows: list[tuple]):
+        keys = np.array([r[0] for r in rows])
+        _, of, count = np.unique(keys, return_inverse=True, return_counts=True)
+        family, parts, size, names = X.Family(unit), [], 0, []
+        for (_, digest, own, data), n in zip(rows, count[of].tolist()):
+            if n == 1 and not own:  # alone in its minimiser, it can match itself only
+                continue
+            parts.append((len(names), unit.symbols(data)))
+            names.append(digest)
+            size += len(data)
             if size >= BATCH_BYTES:
                 family.add(parts)
                 parts, size = [], 0
-            if key != last and not parts and family.levels:
-                yield flush(family, names)
-                family, names = Family(), []
-            last = key
-            parts.append((len(names), np.frombuffer(data, np.uint8)))
-            names.append(digest)
-            size += len(data)
-    if parts:
-        family.add(parts)
-    if names:
-        yield flush(family, names)
-
+        if parts:
+            family.add(parts)
+        found = [(names[i], _spans(unit, m)) for i, m in family.found()]
+        return pa.record_batch([pa.array([n for n, _ in found], pa.binary()), pa.array([s for _, s in found], _SPAN_TYPE)], ["digest", "spans"])
 
-def _pieces(batches):
-    """The contexts' bytes, equal ones of a batch as one row with their number."""
-    for whole in batches:
-        for at in range(0, whole.num_rows, 500):
-            batch, seen = whole.slice(at, 500), {}
-            for data, some in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for c in some:
-                    key = (c["key"], c["digest"])
-                    if key in seen:
-                        seen[key][0] += 1
-                        seen[key][1] |= c["inner"]
-                    else:
-                        seen[key] = [1, c["inner"], data[c["start"] : c["start"] + c["size"]]]
-            keys, digests = zip(*seen) if seen else ((), ())
-            n, own, parts = zip(*seen.values()) if seen else ((), (), ())
-            columns = [pa.array(list(c), t) for c, t in ((keys, pa.int64()), (digests, pa.binary()), (own, pa.bool_()), (n, pa.int64()), (parts, pa.binary()))]
-            yield pa.record_batch(columns, ["key", "digest", "inner", "n", "data"])
+    rows, last = [], None
+    for batch in batches:
+        for unit, shard, *rest in zip(*(c.to_pylist() for c in batch.columns)):
+            if (unit, shard) != last and rows:
+                yield flush(X.UNITS[last[0]], rows)
+                rows = []
+            last = (unit, shard)
+            rows.append(tuple(rest))
+    if rows:
+        yield flush(X.UNITS[last[0]], rows)
 
 
 def _windows(batches):
     for batch in batches:
-        out = [[], [], [], []]
-        for digest, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            data = np.frombuffer(data, np.uint8)
-            n = len(data) - WINDOW + 1
-            out[0].append(pa.array([digest] * n, pa.binary()))
-            out[1].append(pa.array(np.arange(n, dtype=np.int32)))
-            out[2].append(pa.array(window_digests(data, _ONE).view(np.int64)))
-            out[3].append(pa.array(window_digests(data, np.uint64(0xA0761D6478BD642F)).view(np.int64)))
-            if len(out[0]) >= 64:
-                yield pa.record_batch([pa.concat_arrays(c) for c in out], ["digest", "s", "h1", "h2"])
-                out = [[], [], [], []]
-        if out[0]:
+        for at in range(0, batch.num_rows, 64):
+            out: list[list] = [[], [], [], []]
+            for number, digest, data in zip(*(c.to_pylist() for c in batch.slice(at, 64).columns)):
+                unit = X.UNITS[number]
+                symbols = unit.symbols(data)
+                n = len(symbols) - unit.window + 1
+                out[0].append(pa.array([digest] * n, pa.binary()))
+                out[1].append(pa.array(np.arange(n, dtype=np.int32)))
+                for i in (0, 1):
+                    out[2 + i].append(pa.array(X.window_digests(unit, symbols, i).view(np.int64)))
             yield pa.record_batch([pa.concat_arrays(c) for c in out], ["digest", "s", "h1", "h2"])
 
 
-_CONTEXT = pa.list_(pa.struct([("start", pa.int32()), ("size", pa.int32()), ("key", pa.int64()), ("inner", pa.bool_()), ("digest", pa.binary())]))
-_ROW = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("sha", pa.string()), ("data", pa.binary()), ("contexts", _CONTEXT)])
-ROW_SCHEMA = "row long, doc_id long, n_bytes long, sha string, data binary, contexts array<struct<start:int,size:int,key:long,inner:boolean,digest:binary>>"
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, repeated_words long, kept binary"
+
+
+def _covered(spans: list[dict] | None) -> list[tuple[int, int]]:
+    """Sorted ranges that neither overlap nor touch."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted((x["s"], x["e"]) for x in spans or []):
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
 
 
 def _cut(batches):
-    """Removes the spans (s, e) of each row from its bytes."""
+    """Removes the ranges of bytes of each row, and counts its ranges of words."""
     for batch in batches:
         out = []
-        for doc_id, data, spans in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            kept, at, removed, runs, end = [], 0, 0, 0, -1
-            for s, e in sorted((x["s"], x["e"]) for x in spans or []):
-                if s > end:
-                    kept.append(data[at:s])
-                    runs += 1
-                    removed += e - s
-                    end = at = e
-                elif e > end:
-                    removed += e - end
-                    end = at = e
+        for doc_id, data, spans, words in zip(*(c.to_pylist() for c in batch.columns)):
+            gone, at, kept = _covered(spans), 0, []
+            for s, e in gone:
+                kept.append(data[at:s])
+                at = e
             kept = b"".join([*kept, data[at:]])
-            out.append((doc_id, len(data), removed, runs, hashlib.sha256(kept).hexdigest(), kept))
+            out.append((doc_id, len(data), len(data) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), sum(e - s for s, e in _covered(words)), kept))
         names = [f.split()[0] for f in RESULT.split(", ")]
-        types = [pa.int64()] * 4 + [pa.string(), pa.binary()]
-        yield pa.record_batch([pa.array(list(c), t) for c, t in zip(zip(*out) if out else [()] * 6, types)], names)
+        types = [pa.int64()] * 4 + [pa.string(), pa.int64(), pa.binary()]
+        yield pa.record_batch([pa.array(list(c), t) for c, t in zip(zip(*out) if out else [()] * 7, types)], names)
+
+
+def _sharded(contexts: DataFrame) -> DataFrame:
+    """Rows in the order in which ``_match`` takes them.  The number of shards of a unit
+    follows from what its contexts hold."""
+    held = {r["unit"]: r["b"] for r in contexts.groupBy("unit").agg(F.sum("size").alias("b")).collect()}
+    # a word takes about eight bytes
+    shards = [max(1, -(-held.get(u.number, 0) * (1 if u.span > 1 else 8) // SHARD_BYTES)) for u in X.UNITS]
+    shard = F.when(F.col("unit") == 0, F.pmod("key", F.lit(shards[0]))).otherwise(F.pmod("key", F.lit(shards[1]))).alias("shard")
+    return contexts.select("unit", shard, "key", "digest", "inner", "data").repartition(sum(shards), "unit", "shard").sortWithinPartitions("unit", "shard")
 
 
 def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, spans).  rows: every document once, with its bytes only if some of its
-    windows may repeat; spans: row, spans (array of s, e) of the repeated bytes."""
+    windows may repeat; spans: row, spans (arrays of s, e) of the repeated bytes and
+    words."""
     spark = docs.sparkSession
     common.ship(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-
-    def keys(batches):
-        for batch in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
-            out = []
-            for text in batch.column(0).to_pylist():
-                data = np.frombuffer((text or "").encode(), np.uint8)
-                if len(data) >= WINDOW:
-                    h = grams(data)
-                    runs = contexts(h)
-                    out += [runs[0], runs[0][inner(h, *runs)]]
-            yield pa.record_batch([pa.array(np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64))], ["key"])
-
-    twice = docs.select("text").mapInArrow(keys, "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    twice = docs.select("text").mapInArrow(_keys, "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     sent = spark.sparkContext.broadcast(bloom.build(twice, F.col("key")))
-
-    def rows(batches):
-        bits, row = sent.value, TaskContext.get().partitionId() << 40
-        for batch in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
-            out: list[list] = [[] for _ in _ROW]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                raw, some = (text or "").encode(), []
-                if len(raw) >= WINDOW:
-                    h = grams(np.frombuffer(raw, np.uint8))
-                    k, first, end = contexts(h)
-                    hit = np.flatnonzero(bloom.may_hold(bits, k))
-                    k, first, end = k[hit], first[hit], end[hit]
-                    for key, a, b, own in zip(k.view(np.int64).tolist(), first.tolist(), end.tolist(), inner(h, k, first, end).tolist()):
-                        part = raw[a : b + WINDOW - 1]
-                        some.append({"start": a, "size": len(part), "key": key, "inner": own, "digest": hashlib.md5(part).digest()})
-                for column, value in zip(out, (row, doc_id, len(raw), None if some else hashlib.sha256(raw).hexdigest(), raw if some else None, some or None)):
-                    column.append(value)
-                row += 1
-            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(out, _ROW)], schema=_ROW)
-
-    table = common.materialise(docs.mapInArrow(rows, ROW_SCHEMA), "rows")
+    table = common.materialise(docs.mapInArrow(_rows(sent), ROW_SCHEMA), "rows")
     held = table.where("contexts is not null")
-    pieces = held.select("data", "contexts").mapInArrow(_pieces, "key long, digest binary, inner boolean, n long, data binary")
-    different = common.materialise(pieces.groupBy("key", "digest").agg(F.sum("n").alias("n"), F.max("inner").alias("inner"), F.first("data").alias("data")), "contexts")
+    pieces = held.select("data", "contexts").mapInArrow(_pieces, "key long, digest binary, unit byte, n long, inner boolean, size int, data binary")
+    one = [F.first(c).alias(c) for c in ("unit", "size", "data")]
+    different = common.materialise(pieces.groupBy("key", "digest").agg(F.sum("n").alias("n"), F.max("inner").alias("inner"), *one), "contexts")
     crowd = different.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > LIMIT).select("key")
     crowd = common.materialise(crowd, "crowded")
-    few = different.join(crowd, "key", "left_anti").select("key", "digest", "data", "inner")
-    matched = few.repartition("key").sortWithinPartitions("key").mapInArrow(_match, "digest binary, spans array<struct<s:int,e:int>>")
-    windows = common.materialise(different.join(crowd, "key", "left_semi").select("digest", "data").mapInArrow(_windows, "digest binary, s int, h1 long, h2 long"), "windows")
+    matched = _sharded(different.join(crowd, "key", "left_anti")).mapInArrow(_match, f"digest binary, spans {SPANS}")
+    windows = common.materialise(different.join(crowd, "key", "left_semi").select("unit", "digest", "data").mapInArrow(_windows, "digest binary, s int, h1 long, h2 long"), "windows")
     again = common.materialise(windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), "again")
-    counted = windows.join(again, ["h1", "h2"]).groupBy("digest").agg(F.transform(F.collect_list("s"), lambda s: F.struct(s.alias("s"), (s + WINDOW).alias("e"))).alias("spans"))
+    windows = windows.join(again, ["h1", "h2"]).groupBy("digest").agg(F.collect_list("s").alias("at"))
+    size = F.when(F.col("unit") == 0, X.BYTES.window).otherwise(X.WORDS.window)
+    counted = windows.join(different.select("digest", size.alias("size")), "digest").select("digest", F.transform("at", lambda s: F.struct(s.alias("s"), (s + F.col("size")).alias("e"))).alias("spans"))
     # a context that occurs again as a whole is repeated throughout
-    copied = different.where("n > 1").select("digest", F.array(F.struct(F.lit(0).alias("s"), F.octet_length("data").alias("e"))).alias("spans"))
+    copied = different.where("n > 1").select("digest", F.array(F.struct(F.lit(0).alias("s"), F.col("size").alias("e"))).alias("spans"))
     found = common.materialise(matched.unionAll(counted).unionAll(copied).groupBy("digest").agg(F.flatten(F.collect_list("spans")).alias("spans")), "matches")
-    seen = held.select("row", F.explode("contexts").alias("c")).select("row", F.col("c.start").alias("start"), F.col("c.digest").alias("digest"))
-    placed = seen.join(found, "digest").select("row", F.transform("spans", lambda x: F.struct((x["s"] + F.col("start")).alias("s"), (x["e"] + F.col("start")).alias("e"))).alias("spans"))
-    return table, placed.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    seen = held.select("row", F.explode("contexts").alias("c")).select("row", "c.unit", F.col("c.start").alias("start"), F.col("c.digest").alias("digest"))
+    placed = seen.join(found, "digest").select("row", "unit", F.transform("spans", lambda x: F.struct((x["s"] + F.col("start")).alias("s"), (x["e"] + F.col("start")).alias("e"))).alias("spans"))
+    of = lambda n: F.flatten(F.collect_list(F.when(F.col("unit") == n, F.col("spans"))))
+    return table, placed.groupBy("row").agg(of(0).alias("spans"), of(1).alias("words"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the
-    bytes kept (null where the text is whole)."""
+    """Per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256,
+    repeated_words (words in a passage of over fifty words that starts anywhere else
+    too) and the bytes kept (null where no context is shared)."""
     table, spans = repeated_spans(docs)
-    whole = table.where("sha is not null").select("doc_id", "n_bytes", F.lit(0).cast("long"), F.lit(0).cast("long"), "sha", F.lit(None).cast("binary"))
-    cut = table.where("sha is null").select("row", "doc_id", "data").join(spans, "row", "left").select("doc_id", "data", "spans").mapInArrow(_cut, RESULT)
+    none = F.lit(0).cast("long")
+    whole = table.where("contexts is null").select("doc_id", "n_bytes", none, none, "sha", none, F.lit(None).cast("binary"))
+    cut = table.where("contexts is not null").select("row", "doc_id", "data").join(spans, "row", "left").select("doc_id", "data", "spans", "words").mapInArrow(_cut, RESULT)
     return cut.unionAll(whole)
 
 

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from confluo.llm import bpe, common, embeddings, licenses, media, mixing, packing, secrets, simhash, suffix_dedup, token_counts, toxicity
+from confluo.llm import bpe, common, embeddings, licenses, media, mixing, packing, secrets, simhash, suffix_dedup, suffix_index, token_counts, toxicity
 
 DATA = "/root/testdata/sf0.001"
 LONG = " ".join(f"w{i}" for i in range(30_000))
@@ -301,49 +302,82 @@ def test_keep_one_with_clashing_ids(spark):
 
 
 def removed(parts):
-    seen = {}
-    for b in parts:
-        for i in range(len(b) - 399):
-            seen[b[i : i + 400]] = seen.get(b[i : i + 400], 0) + 1
+    """What is to be returned, without the id, by brute force over bytes and words."""
+    kinds = []
+    for window, sequences in ((400, parts), (51, [p.split() for p in parts])):
+        windows = [[s[i : i + window] if window == 400 else tuple(s[i : i + window]) for i in range(len(s) - window + 1)] for s in sequences]
+        seen = Counter(w for own in windows for w in own)
+        kinds.append([])
+        for s, own in zip(sequences, windows):
+            gone = np.zeros(len(s), bool)
+            for i, w in enumerate(own):
+                if seen[w] > 1:
+                    gone[i : i + window] = True
+            kinds[-1].append(gone)
     out = []
-    for b in parts:
-        gone = np.zeros(len(b), bool)
-        for i in range(len(b) - 399):
-            if seen[b[i : i + 400]] > 1:
-                gone[i : i + 400] = True
-        out.append((len(b), int(gone.sum()), int((np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum()), hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~gone])).hexdigest()))
+    for b, gone, words in zip(parts, *kinds):
+        runs = int((np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum())
+        out.append((len(b), int(gone.sum()), runs, hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~gone])).hexdigest(), int(words.sum())))
     return sorted(out)
 
 
+def deduped(df):
+    return sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.repeated_words) for r in suffix_dedup.dedup(df).collect())
+
+
 def test_suffix_dedup(spark, docs, empty, real):
-    for part in (docs.where("doc_id <> 3"), real):
-        got = sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup(part).collect())
-        assert got == removed([t.encode() for _, t in texts(part if part is real else docs.where("doc_id <> 3"))])
+    some = docs.where("doc_id is null or doc_id <> 3")
+    for part in (some, real):
+        assert deduped(part) == removed([t.encode() for _, t in texts(part)])
     assert suffix_dedup.dedup(empty).count() == 0
 
 
+def test_suffix_dedup_of_passages_of_over_fifty_words(spark):
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randrange(2, 9)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    rows, planted = [], {}
+    for n in (50, 51, 55, 60, 70, 90):
+        passage = text(n)
+        for _ in range(2):
+            planted[len(rows)] = n
+            rows.append((len(rows), f"{text(40)} {passage} {text(30)}"))
+    rows += [(len(rows) + i, text(200)) for i in range(20)]
+    r = {x.doc_id: x for x in suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: x.repeated_words for i, x in r.items() if x.repeated_words} == {i: n for i, n in planted.items() if n > 50}
+    assert deduped(spark.createDataFrame(rows, "doc_id long, text string")) == removed([t.encode() for _, t in rows])
+
+
 def test_suffix_dedup_of_crowded_minimisers(spark, monkeypatch):
     rng = random.Random(9)
     passage = "".join(rng.choices("abcdefgh ", k=700))
-    rows = [(i, "".join(rng.choices("xyz", k=rng.randrange(300))) + passage + "".join(rng.choices("xyz", k=200))) for i in range(40)]
+    rows = [(i, "".join(rng.choices("xyz ", k=rng.randrange(300))) + passage + "".join(rng.choices("xyz ", k=200))) for i in range(40)]
     df, want = spark.createDataFrame(rows, "doc_id long, text string"), removed([t.encode() for _, t in rows])
-    for limit, size in ((512, 1 << 20), (5, 1 << 20), (512, 3000)):
+    for limit, batch, shard in ((4096, 1 << 20, 1 << 22), (5, 1 << 20, 1 << 22), (4096, 3000, 1 << 22), (4096, 1000, 9000)):
         monkeypatch.setattr(suffix_dedup, "LIMIT", limit)
-        monkeypatch.setattr(suffix_dedup, "BATCH_BYTES", size)
-        assert sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup(df).collect()) == want
+        monkeypatch.setattr(suffix_dedup, "BATCH_BYTES", batch)
+        monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", shard)
+        assert deduped(df) == want
 
 
-def test_family_merges_levels():
+@pytest.mark.parametrize("unit", suffix_index.UNITS)
+def test_family_of_levels(unit):
     rng = random.Random(10)
-    blocks = [np.frombuffer(bytes(rng.choices(range(97, 101), k=450)), np.uint8) for _ in range(6)]
-    parts = [np.concatenate([blocks[a], blocks[b]]) for a, b in ((0, 1), (2, 3), (4, 5), (1, 0), (3, 5))]
-    family = suffix_dedup.Family()
-    for i, p in enumerate(parts):
-        family.add([(i, p)])
-    marks = family.finish()
-    windows = [[p[i : i + 400].tobytes() for i in range(len(p) - 399)] for p in parts]
-    for i, own in enumerate(windows):
-        assert marks[i].tolist() == [sum(w == x for o in windows for x in o) > 1 for w in own]
+    for _ in range(10):
+        words = [bytes(rng.choices(b"abc", k=rng.randrange(1, 4))) for _ in range(6)]
+        blocks = [b" ".join(rng.choices(words, k=rng.choice([30, 60, 200]))) for _ in range(6)]
+        made = [unit.symbols(b" ".join(rng.choice(blocks) for _ in range(rng.randrange(4, 12)))) for _ in range(15)]
+        parts, family, width = [(i, s) for i, s in enumerate(made) if len(s) >= unit.window], suffix_index.Family(unit), unit.window
+        for batches, part in enumerate(parts, 1):
+            family.add([part])
+            # as many levels as the number of batches has binary digits that are one
+            assert [level.batches for level in family.levels] == [1 << i for i in range(10, -1, -1) if batches >> i & 1]
+        for level in family.levels:
+            order = [level.symbols[p : p + width].tolist() for p in level.place]
+            assert order == sorted(order)
+        windows = {n: [s[i : i + width].tobytes() for i in range(len(s) - width + 1)] for n, s in parts}
+        seen = Counter(w for own in windows.values() for w in own)
+        assert {n: m.tolist() for n, m in family.found()} == {n: [seen[w] > 1 for w in own] for n, own in windows.items() if any(seen[w] > 1 for w in own)}
 
 
 def test_toxicity(spark, docs, empty, real):

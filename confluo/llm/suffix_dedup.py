@@ -50,23 +50,16 @@ def _slices(batches):
 
 
 def _keys(batches):
-    """The minimisers of each text, those that stand in one context twice, twice."""
+    """The minimisers of the texts, each as often as it heads a run of windows."""
     for batch in _slices(batches):
-        out = [np.zeros(0, np.uint64)]
-        for text in batch.column(0).to_pylist():
-            raw = (text or "").encode()
-            for unit in X.UNITS:
-                symbols = unit.symbols(raw)
-                if len(symbols) >= unit.window:
-                    h = X.grams(unit, symbols)
-                    runs = X.contexts(unit, h)
-                    out += [runs[0], runs[0][X.inner(unit, h, *runs)]]
-        yield pa.record_batch([pa.array(np.concatenate(out).view(np.int64))], ["key"])
-
-
-_CONTEXT = pa.list_(pa.struct([("unit", pa.int8()), ("start", pa.int32()), ("size", pa.int32()), ("key", pa.int64()), ("inner", pa.bool_()), ("digest", pa.binary())]))
+        raws = [(t or "").encode() for t in batch.column(0).to_pylist()]
+        found = [key for _, _, key, _, _ in X.scan(raws)]
+        yield pa.record_batch([pa.array(np.concatenate(found or [np.zeros(0, np.uint64)]).view(np.int64))], ["key"])
+
+
+_CONTEXT = pa.list_(pa.struct([("unit", pa.int8()), ("start", pa.int32()), ("size", pa.int32()), ("key", pa.int64()), ("at", pa.int64()), ("digest", pa.binary())]))
 _ROW = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("sha", pa.string()), ("data", pa.binary()), ("contexts", _CONTEXT)])
-ROW_SCHEMA = "row long, doc_id long, n_bytes long, sha string, data binary, contexts array<struct<unit:byte,start:int,size:int,key:long,inner:boolean,digest:binary>>"
+ROW_SCHEMA = "row long, doc_id long, n_bytes long, sha string, data binary, contexts array<struct<unit:byte,start:int,size:int,key:long,at:long,digest:binary>>"
 
 
 def _part(unit: X.Unit, raw: bytes, words: list[bytes], start: int, size: int) -> bytes:
@@ -75,50 +68,40 @@ def _part(unit: X.Unit, raw: bytes, words: list[bytes], start: int, size: int) -
 
 def _rows(sent):
     def run(batches):
-        bits, row = sent.value, TaskContext.get().partitionId() << 40
+        bits, row, at = sent.value, TaskContext.get().partitionId() << 40, TaskContext.get().partitionId() << 40
         for batch in _slices(batches):
-            out: list[list] = [[] for _ in _ROW]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                raw, some = (text or "").encode(), []
-                words = raw.split()
-                for unit in X.UNITS:
-                    symbols = unit.symbols(raw)
-                    if len(symbols) < unit.window:
-                        continue
-                    h = X.grams(unit, symbols)
-                    k, first, end = X.contexts(unit, h)
-                    hit = np.flatnonzero(bloom.may_hold(bits, k))
-                    k, first, end = k[hit], first[hit], end[hit]
-                    for key, a, b, own in zip(k.view(np.int64).tolist(), first.tolist(), end.tolist(), X.inner(unit, h, k, first, end).tolist()):
-                        size = b - a + unit.window - 1
-                        digest = hashlib.md5(b"%d" % unit.number + _part(unit, raw, words, a, size)).digest()
-                        some.append({"unit": unit.number, "start": a, "size": size, "key": key, "inner": own, "digest": digest})
-                whole = hashlib.sha256(raw).hexdigest() if not some else None
-                for column, value in zip(out, (row, doc_id, len(raw), whole, raw if some else None, some or None)):
-                    column.append(value)
-                row += 1
-            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(out, _ROW)], schema=_ROW)
+            raws = [(t or "").encode() for t in batch.column(1).to_pylist()]
+            some: list[list] = [[] for _ in raws]
+            words: dict[int, list[bytes]] = {}
+            for unit, text, key, first, end in X.scan(raws):
+                hit = np.flatnonzero(bloom.may_hold(bits, key))
+                for i, k, a, b in zip(*(c[hit].tolist() for c in (text, key.view(np.int64), first, end))):
+                    size = b - a + unit.window - 1
+                    if unit is X.WORDS and i not in words:
+                        words[i] = raws[i].split()
+                    digest = hashlib.md5(b"%d" % unit.number + _part(unit, raws[i], words.get(i, []), a, size)).digest()
+                    some[i].append({"unit": unit.number, "start": a, "size": size, "key": k, "at": at, "digest": digest})
+                    at += 1
+            columns = [
+                range(row, row + len(raws)), batch.column(0).to_pylist(), [len(r) for r in raws], [None if c else hashlib.sha256(r).hexdigest() for r, c in zip(raws, some)],
+                [r if c else None for r, c in zip(raws, some)], [c or None for c in some],
+            ]
+            row += len(raws)
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, _ROW)], schema=_ROW)
 
     return run
 
 
 def _pieces(batches):
-    """What the contexts hold, equal ones of a batch as one row with their number."""
+    """What the wanted contexts of each row hold."""
     for batch in _slices(batches):
-        seen: dict[tuple, list] = {}
-        for data, some in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            words = data.split()
-            for c in some:
-                key = (c["key"], c["digest"])
-                if key in seen:
-                    seen[key][1] += 1
-                    seen[key][2] |= c["inner"]
-                else:
-                    seen[key] = [c["unit"], 1, c["inner"], c["size"], _part(X.UNITS[c["unit"]], data, words, c["start"], c["size"])]
-        keys, digests = zip(*seen) if seen else ((), ())
-        columns = [keys, digests, *(zip(*seen.values()) if seen else [()] * 5)]
-        types = (pa.int64(), pa.binary(), pa.int8(), pa.int64(), pa.bool_(), pa.int32(), pa.binary())
-        yield pa.record_batch([pa.array(list(c), t) for c, t in zip(columns, types)], ["key", "digest", "unit", "n", "inner", "size", "data"])
+        out: list[list] = [[] for _ in range(4)]
+        for data, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            words = data.split() if any(c["unit"] for c in wanted) else []
+            for c in wanted:
+                for column, value in zip(out, (c["unit"], c["key"], c["digest"], _part(X.UNITS[c["unit"]], data, words, c["start"], c["size"]))):
+                    column.append(value)
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(out, (pa.int8(), pa.int64(), pa.binary(), pa.binary()))], ["unit", "key", "digest", "data"])
 
 
 _SPAN_TYPE = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
@@ -138,37 +121,30 @@ def _spans(unit: X.Unit, marks: np.ndarray) -> list[dict]:
 
 
 def _match(batches):
-    """Rows (unit, shard, key, digest, inner, data) sorted by unit and shard.  A shard's
-    contexts are held while its family is built."""
-
-    def flush(unit: X.Unit, rows: list[tuple]):
-        keys = np.array([r[0] for r in rows])
-        _, of, count = np.unique(keys, return_inverse=True, return_counts=True)
-        family, parts, size, names = X.Family(unit), [], 0, []
-        for (_, digest, own, data), n in zip(rows, count[of].tolist()):
-            if n == 1 and not own:  # alone in its minimiser, it can match itself only
-                continue
-            parts.append((len(names), unit.symbols(data)))
+    """Rows (unit, shard, digest, data) sorted by unit and shard, in the order in which
+    they arrive."""
+
+    def found(unit: X.Unit, family: X.Family, parts: list, names: list[bytes]):
+        if parts:
+            family.add(parts)
+        out = [(names[i], _spans(unit, m)) for i, m in family.found()]
+        return pa.record_batch([pa.array([n for n, _ in out], pa.binary()), pa.array([s for _, s in out], _SPAN_TYPE)], ["digest", "spans"])
+
+    family, parts, names, size, last = None, [], [], 0, None
+    for batch in batches:
+        for number, shard, digest, data in zip(*(c.to_pylist() for c in batch.columns)):
+            if (number, shard) != last:
+                if family:
+                    yield found(X.UNITS[last[0]], family, parts, names)
+                family, parts, names, size, last = X.Family(X.UNITS[number]), [], [], 0, (number, shard)
+            parts.append((len(names), X.UNITS[number].symbols(data)))
             names.append(digest)
             size += len(data)
             if size >= BATCH_BYTES:
                 family.add(parts)
                 parts, size = [], 0
-        if parts:
-            family.add(parts)
-        found = [(names[i], _spans(unit, m)) for i, m in family.found()]
-        return pa.record_batch([pa.array([n for n, _ in found], pa.binary()), pa.array([s for _, s in found], _SPAN_TYPE)], ["digest", "spans"])
-
-    rows, last = [], None
-    for batch in batches:
-        for unit, shard, *rest in zip(*(c.to_pylist() for c in batch.columns)):
-            if (unit, shard) != last and rows:
-                yield flush(X.UNITS[last[0]], rows)
-                rows = []
-            last = (unit, shard)
-            rows.append(tuple(rest))
-    if rows:
-        yield flush(X.UNITS[last[0]], rows)
+    if family:
+        yield found(X.UNITS[last[0]], family, parts, names)
 
 
 def _windows(batches):
@@ -216,14 +192,13 @@ def _cut(batches):
         yield pa.record_batch([pa.array(list(c), t) for c, t in zip(zip(*out) if out else [()] * 7, types)], names)
 
 
-def _sharded(contexts: DataFrame) -> DataFrame:
+def _sharded(contexts: DataFrame, held: dict[int, int]) -> DataFrame:
     """Rows in the order in which ``_match`` takes them.  The number of shards of a unit
-    follows from what its contexts hold."""
-    held = {r["unit"]: r["b"] for r in contexts.groupBy("unit").agg(F.sum("size").alias("b")).collect()}
+    follows from ``held``, what its contexts hold in symbols."""
     # a word takes about eight bytes
     shards = [max(1, -(-held.get(u.number, 0) * (1 if u.span > 1 else 8) // SHARD_BYTES)) for u in X.UNITS]
     shard = F.when(F.col("unit") == 0, F.pmod("key", F.lit(shards[0]))).otherwise(F.pmod("key", F.lit(shards[1]))).alias("shard")
-    return contexts.select("unit", shard, "key", "digest", "inner", "data").repartition(sum(shards), "unit", "shard").sortWithinPartitions("unit", "shard")
+    return contexts.select("unit", shard, "digest", "data").repartition(sum(shards), "unit", "shard").sortWithinPartitions("unit", "shard")
 
 
 def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -237,22 +212,31 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sent = spark.sparkContext.broadcast(bloom.build(twice, F.col("key")))
     table = common.materialise(docs.mapInArrow(_rows(sent), ROW_SCHEMA), "rows")
     held = table.where("contexts is not null")
-    pieces = held.select("data", "contexts").mapInArrow(_pieces, "key long, digest binary, unit byte, n long, inner boolean, size int, data binary")
-    one = [F.first(c).alias(c) for c in ("unit", "size", "data")]
-    different = common.materialise(pieces.groupBy("key", "digest").agg(F.sum("n").alias("n"), F.max("inner").alias("inner"), *one), "contexts")
-    crowd = different.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > LIMIT).select("key")
-    crowd = common.materialise(crowd, "crowded")
-    matched = _sharded(different.join(crowd, "key", "left_anti")).mapInArrow(_match, f"digest binary, spans {SPANS}")
-    windows = common.materialise(different.join(crowd, "key", "left_semi").select("unit", "digest", "data").mapInArrow(_windows, "digest binary, s int, h1 long, h2 long"), "windows")
-    again = common.materialise(windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), "again")
-    windows = windows.join(again, ["h1", "h2"]).groupBy("digest").agg(F.collect_list("s").alias("at"))
-    size = F.when(F.col("unit") == 0, X.BYTES.window).otherwise(X.WORDS.window)
-    counted = windows.join(different.select("digest", size.alias("size")), "digest").select("digest", F.transform("at", lambda s: F.struct(s.alias("s"), (s + F.col("size")).alias("e"))).alias("spans"))
+    seen = held.select("row", F.explode("contexts").alias("c")).select("row", "c.*")
+    different = seen.groupBy("key", "digest").agg(F.count("*").alias("n"), F.min("at").alias("at"), F.max("unit").alias("unit"), F.max("size").alias("size"))
+    different = common.materialise(different, "contexts")
+    # a context that is alone in its minimiser can match nothing but its own copies
+    keys = common.materialise(different.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "keys")
+    wanted = common.materialise(different.join(keys, "key").select("at", "unit", "size", (F.col("m") > LIMIT).alias("crowded")), "wanted")
+    total = {(r["unit"], r["crowded"]): r["b"] for r in wanted.groupBy("unit", "crowded").agg(F.sum("size").alias("b")).collect()}
+
+    def pieces(crowded: bool) -> DataFrame:
+        mine = seen.join(wanted.where(F.col("crowded") == crowded).select("at"), "at").groupBy("row").agg(F.collect_list(F.struct("unit", "key", "digest", "start", "size")).alias("c"))
+        return held.select("row", "data").join(mine, "row").select("data", "c").mapInArrow(_pieces, "unit byte, key long, digest binary, data binary")
+
+    found = _sharded(pieces(False), {u: b for (u, crowded), b in total.items() if not crowded}).mapInArrow(_match, f"digest binary, spans {SPANS}")
+    if any(crowded for _, crowded in total):
+        windows = common.materialise(pieces(True).select("unit", "digest", "data").mapInArrow(_windows, "digest binary, s int, h1 long, h2 long"), "windows")
+        again = common.materialise(windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), "again")
+        windows = windows.join(again, ["h1", "h2"]).groupBy("digest").agg(F.collect_list("s").alias("at"))
+        size = F.when(F.col("unit") == 0, X.BYTES.window).otherwise(X.WORDS.window)
+        windows = windows.join(different.select("digest", size.alias("size")), "digest")
+        found = found.unionAll(windows.select("digest", F.transform("at", lambda s: F.struct(s.alias("s"), (s + F.col("size")).alias("e")))))
     # a context that occurs again as a whole is repeated throughout
-    copied = different.where("n > 1").select("digest", F.array(F.struct(F.lit(0).alias("s"), F.col("size").alias("e"))).alias("spans"))
-    found = common.materialise(matched.unionAll(counted).unionAll(copied).groupBy("digest").agg(F.flatten(F.collect_list("spans")).alias("spans")), "matches")
-    seen = held.select("row", F.explode("contexts").alias("c")).select("row", "c.unit", F.col("c.start").alias("start"), F.col("c.digest").alias("digest"))
-    placed = seen.join(found, "digest").select("row", "unit", F.transform("spans", lambda x: F.struct((x["s"] + F.col("start")).alias("s"), (x["e"] + F.col("start")).alias("e"))).alias("spans"))
+    found = found.unionAll(different.where("n > 1").select("digest", F.array(F.struct(F.lit(0).alias("s"), F.col("size").alias("e")))))
+    found = common.materialise(found.groupBy("digest").agg(F.flatten(F.collect_list("spans")).alias("spans")), "matches")
+    shifted = F.transform("spans", lambda x: F.struct((x["s"] + F.col("start")).alias("s"), (x["e"] + F.col("start")).alias("e")))
+    placed = seen.select("row", "unit", "start", "digest").join(found, "digest").select("row", "unit", shifted.alias("spans"))
     of = lambda n: F.flatten(F.collect_list(F.when(F.col("unit") == n, F.col("spans"))))
     return table, placed.groupBy("row").agg(of(0).alias("spans"), of(1).alias("words"))
 

@@ -18,13 +18,32 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import xxhash
 
 _ONE, _TWO = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _BASES = (np.uint64(0xD1342543DE82EF95), np.uint64(0xAF251AF3B0F025B5))
 _BYTE = np.sort(np.random.default_rng(42).integers(1, 1 << 63, 256, np.uint64))
 
 
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the words of a text, and a hash of each, from its bytes."""
+    space = np.ones(len(data) + 2, bool)
+    space[1:-1] = (data == 32) | (data - np.uint8(9) < 5)
+    edge = np.flatnonzero(space[1:] != space[:-1])
+    start, size = edge[::2], edge[1::2] - edge[::2]
+    loads = np.ndarray((len(data) + 1,), "<u8", np.append(data, np.zeros(8, np.uint8)).tobytes(), 0, (1,))
+    code, some, at = size.astype(np.uint64) * _ONE, np.arange(len(size)), 0
+    while len(some):
+        code[some] ^= loads[start[some] + at] & _MASK[np.minimum(size[some] - at, 8)]
+        code[some] *= _TWO
+        code[some] ^= code[some] >> np.uint64(32)
+        at += 8
+        some = some[size[some] > at]
+    return start, code
+
+
 @dataclass(frozen=True)
 class Unit:
     """Symbols of a kind, the window's length and that of the strings among which a
@@ -36,9 +55,8 @@ class Unit:
     span: int
 
     def symbols(self, raw: bytes) -> np.ndarray:
-        if self.span > 1:
-            return np.frombuffer(raw, np.uint8)
-        return np.array([xxhash.xxh3_64_intdigest(w) for w in raw.split()], np.uint64)
+        data = np.frombuffer(raw, np.uint8)
+        return data if self.span > 1 else words(data)[1]
 
     def codes(self, symbols: np.ndarray) -> np.ndarray:
         return _BYTE[symbols] if self.span > 1 else symbols
@@ -71,23 +89,47 @@ def grams(unit: Unit, symbols: np.ndarray) -> np.ndarray:
     return h
 
 
-def contexts(unit: Unit, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows of one minimiser, from the hashes of a text's strings: keys,
-    first starts, ends (exclusive)."""
+def contexts(unit: Unit, symbols: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs of windows whose minimiser is the same string at the same place, the first
+    of the least ones, in the texts that stand in ``symbols`` from ``at``: number of the
+    text, key, first start and end (exclusive) in the text.  Equal windows have equal
+    keys, and no two windows of one run are equal."""
+    long = np.flatnonzero(size >= unit.window)
+    if not len(long):
+        return (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    h = grams(unit, symbols)
     width, span = unit.window - unit.gram + 1, 1
-    low = h
+    low = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
     while span * 2 <= width:
         low, span = np.minimum(low[:-span], low[span:]), span * 2
     rest = width - span
     low = np.minimum(low[: len(low) - rest], low[rest:])
-    first = np.concatenate(([0], np.flatnonzero(low[1:] != low[:-1]) + 1))
-    return low[first], first, np.append(first[1:], len(low))
-
-
-def inner(unit: Unit, h: np.ndarray, keys, first, end) -> np.ndarray:
-    """Marks the runs in which the minimiser stands more than once."""
-    width = unit.window - unit.gram
-    return np.array([np.count_nonzero(h[a : b + width] == k) > 1 for k, a, b in zip(keys, first.tolist(), end.tolist())], bool)
+    begin, end = at[long], at[long] + size[long] - unit.window + 1
+    bounds = np.unique(np.concatenate((np.flatnonzero(low[1:] != low[:-1]) + 1, begin, end)))
+    first, last = bounds[:-1], bounds[1:]
+    text = np.searchsorted(begin, first, "right") - 1
+    inside = (text >= 0) & (first < end[text])
+    first, last, text = first[inside], last[inside], text[inside]
+    return long[text], h[(low[first] & np.uint64(0xFFFFFFFF)).astype(np.int64)], first - begin[text], last - begin[text]
+
+
+def scan(raws: list[bytes], size: int = 1 << 16):
+    """Contexts of many texts, computed for about ``size`` bytes of them at a time:
+    unit, numbers of the texts, keys, first starts, ends."""
+    low = held = 0
+    for high in range(1, len(raws) + 1):
+        held += len(raws[high - 1])
+        if held >= size or high == len(raws):
+            lengths = np.array([len(r) for r in raws[low:high]])
+            at = np.cumsum(lengths + 1) - lengths - 1
+            data = np.frombuffer(b" ".join(raws[low:high]), np.uint8)
+            text, *rest = contexts(BYTES, data, at, lengths)
+            yield (BYTES, text + low, *rest)
+            start, codes = words(data)
+            edge = np.searchsorted(start, np.append(at, len(data) + 1))
+            text, *rest = contexts(WORDS, codes, edge[:-1], np.diff(edge))
+            yield (WORDS, text + low, *rest)
+            low, held = high, 0
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
@@ -114,7 +156,7 @@ def window_digests(unit: Unit, symbols: np.ndarray, base: int) -> np.ndarray:
 def _refine(unit: Unit, symbols: np.ndarray, place: np.ndarray, first: np.ndarray, digest: np.ndarray) -> np.ndarray:
     """Sorts the windows at ``place`` by load after load, going on with those that are
     tied with a different window."""
-    order = np.argsort(first, kind="stable")
+    order = np.argsort(first)
     key = first[order]
     changes = np.concatenate(([True], key[1:] != key[:-1]))
     group = np.flatnonzero(changes)[np.cumsum(changes) - 1]
@@ -164,9 +206,10 @@ class Level:
         """Where the windows of ``other`` belong in this order, and which stand at that
         place (an index), or -1."""
         lo = np.searchsorted(self.first, other.first, "left")
-        hi = np.searchsorted(self.first, other.first, "right")
-        equal = np.full(len(lo), -1)
-        open_ = np.flatnonzero(lo < hi)
+        equal, hi = np.full(len(lo), -1), lo.copy()
+        open_ = np.flatnonzero(self.first[np.minimum(lo, len(self.first) - 1)] == other.first)
+        hi[open_] = np.searchsorted(self.first, other.first[open_], "right")
+        open_ = open_[lo[open_] < hi[open_]]
         while len(open_):
             mid = (lo[open_] + hi[open_]) // 2
             same = self.digest[mid] == other.digest[open_]

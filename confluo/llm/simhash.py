@@ -11,9 +11,11 @@ Equal fingerprints are one entry of the index.  Lists longer than ``TILE`` are d
 into pairs of blocks, so no task holds a list whole and no pair is skipped; a tile
 hands on a spanning forest of its links and never the pairs.
 
-The pipeline keeps one document of each component under another rule, Jaccard
-similarity of five-word shingles (``keep_one``): bands of least hashes propose groups,
-and every pair inside a group is checked on its shingles.
+The pipeline keeps one document of each component (``keep_one``).  Its links are those
+of the fingerprints and, since texts whose five-word shingles have a Jaccard similarity
+of 0.8 differ in ten bits of 64 on average and no byte index covers that, those of 0.8
+or more as well: bands of least hashes propose groups, and every pair inside a group is
+checked on its shingles.
 
 Defined cases: a null or empty text has fingerprint zero, linked like any other; a
 null id is kept in the result but cannot name a component; repeated rows share a
@@ -30,8 +32,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from confluo.llm import common
+from confluo.llm import bloom, common
 from confluo.llm.graph import components
+from confluo.llm.suffix_index import words as word_codes
 
 MAX_BITS = 4
 MIN_SHARED = 8 - MAX_BITS
@@ -40,7 +43,7 @@ TILE = 512
 #: and hashes in each, so that a pair at 0.8 shares no band with probability
 #: (1 - 0.8 ** 5) ** 40, about 1.3e-7; sets of a block.
 WORDS, SIMILARITY = 5, 0.8
-BANDS, ROWS, BLOCK = 40, 5, 256
+BANDS, ROWS, BLOCK, BLOCK_SHINGLES = 40, 5, 256, 1 << 20
 
 
 def position_triples() -> list[tuple[int, int, int]]:
@@ -159,60 +162,64 @@ def near_edges(fps: DataFrame) -> DataFrame:
 
 
 def _classes(rows: DataFrame) -> DataFrame:
-    """rows (doc_id, fp): per fingerprint its component and component_id, the least
-    doc_id of the component (null if no row of it has an id)."""
+    """rows (doc_id, fp): per fingerprint its component_id, the least doc_id of the
+    component (null if no row of it has an id)."""
     classes = common.materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
     found = components(near_edges(classes.select("fp"))).withColumnRenamed("node", "fp")
     member = common.materialise(classes.join(found, "fp", "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component")), "members")
     lowest = common.materialise(member.groupBy("component").agg(F.min("first_id").alias("component_id")), "lowest")
-    return common.materialise(member.join(lowest, "component").select("fp", "component", "component_id"), "named")
+    return common.materialise(member.join(lowest, "component").select("fp", "component_id"), "named")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id."""
     rows = common.materialise(fingerprints(docs), "fingerprints")
-    named = _classes(rows).drop("component")
-    return rows.join(named, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return rows.join(_classes(rows), "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def shingles(text: str | None, words: int = WORDS, seed: int = 42) -> np.ndarray:
-    """The sorted distinct hashes of the word shingles of a text; a shorter text is
-    one shingle, a text without words has none."""
-    tokens = (text or "").encode().lower().split()
-    if not tokens:
-        return np.zeros(0, np.uint64)
-    whole, n = b" ".join(tokens), max(len(tokens) - words + 1, 1)
-    ends = np.cumsum([len(t) + 1 for t in tokens])
-    starts = np.concatenate(([0], ends[: n - 1])).tolist()
-    h = xxhash.xxh3_64_intdigest
-    return np.unique(np.array([h(whole[a:b], seed) for a, b in zip(starts, (ends[min(words, len(tokens)) - 1 :] - 1).tolist())], np.uint64))
+def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
+    """The sorted distinct hashes of the word shingles of a text; a shorter text is one
+    shingle, a text without words has none."""
+    codes = word_codes(np.frombuffer((text or "").encode().lower(), np.uint8))[1]
+    if not len(codes):
+        return codes
+    n = max(len(codes) - words + 1, 1)
+    h = np.full(n, min(words, len(codes)), np.uint64)
+    for k in range(min(words, len(codes))):
+        h = (h ^ codes[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return np.unique(h)
 
 
-_FACTORS = np.random.default_rng(42).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
+_FACTORS = np.random.default_rng(42).integers(0, 1 << 31, (2, BANDS * ROWS, 1), np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 def band_keys(found: np.ndarray) -> np.ndarray:
     """One key per band: a hash of the band's number and its least hashes."""
     if not len(found):
         return np.zeros(0, np.int64)
-    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint32).max, np.uint32)
+    halves = found.astype("<u8").view("<u4").reshape(-1, 2)
     for at in range(0, len(found), 512):
-        part = found[None, at : at + 512] * _FACTORS[0][:, None]
-        part ^= part >> np.uint64(32)
-        part *= _FACTORS[1][:, None]
+        part = halves[at : at + 512, 0] * _FACTORS[0]
+        part += halves[at : at + 512, 1] * _FACTORS[1]
         np.minimum(low, part.min(axis=1), out=low)
-    rows = low.reshape(BANDS, ROWS)
-    return np.array([xxhash.xxh3_64_intdigest(r.tobytes(), i) for i, r in enumerate(rows)], np.uint64).view(np.int64)
+    return np.array([xxhash.xxh3_64_intdigest(r.tobytes(), i) for i, r in enumerate(low.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
+
+
+_SIGNATURE = pa.schema([("doc_id", pa.int64()), ("print", pa.int64()), ("fp", pa.int64()), ("set", pa.int64()), ("size", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
 
 def _signatures(batches):
     for whole in batches:
         for at in range(0, whole.num_rows, 1000):
             batch = whole.slice(at, 1000)
-            sets = [shingles(t) for t in batch.column(2).to_pylist()]
-            names = pa.array(np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64))
+            texts = batch.column(2).to_pylist()
+            sets = [shingles(t) for t in texts]
+            signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
             bands = pa.array([band_keys(x) for x in sets], pa.list_(pa.int64()))
-            yield pa.record_batch([batch.column(0), batch.column(1), names, bands], ["doc_id", "print", "set", "bands"])
+            names = signed([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets])
+            yield pa.record_batch([batch.column(0), batch.column(1), signed([fingerprint(t) for t in texts]), names, pa.array([len(x) for x in sets], pa.int64()), bands], schema=_SIGNATURE)
 
 
 def similar(sets: list[np.ndarray], least: float = SIMILARITY) -> np.ndarray:
@@ -258,15 +265,17 @@ def _similar_edges(batches):
 
 
 def similar_edges(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(u, v) links that connect the sets of ``classes`` (set, print, bands) at
+    """(u, v) links that connect the sets of ``classes`` (set, print, size, bands) at
     ``SIMILARITY`` or more.  Sets with a band in common fall into one group; inside a
-    group, dealt into pairs of blocks, every pair is compared on its shingles."""
+    group, dealt into pairs of blocks of about ``BLOCK`` sets and at most about
+    ``BLOCK_SHINGLES`` shingles, every pair is compared on its shingles."""
     postings = classes.select("set", F.explode("bands").alias("key"))
     lists = postings.groupBy("key").agg(F.count("*").alias("size"), F.min("set").alias("head")).where("size > 1").select("key", "head")
     grouped = common.materialise(components(postings.join(lists, "key").select("set", "head"), "set", "head").toDF("set", "group"), "groups")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("long")
-    sized = grouped.join(grouped.groupBy("group").agg(F.count("*").alias("size")), "group").withColumn("block", F.pmod(F.xxhash64("set"), blocks))
-    placed = common.materialise(sized.join(classes.select("set", "print"), "set"), "placed")
+    blocks = F.greatest(F.ceil(F.col("total") / BLOCK_SHINGLES), F.ceil(F.col("sets") / BLOCK)).cast("long")
+    sized = common.materialise(grouped.join(classes.select("set", "print", "size"), "set"), "sized")
+    total = sized.groupBy("group").agg(F.sum("size").alias("total"), F.count("*").alias("sets"))
+    placed = common.materialise(sized.join(total, "group").withColumn("block", F.pmod(F.xxhash64("set"), blocks)), "placed")
     text = docs.select(F.xxhash64(F.col("text").cast("string")).alias("print"), F.col("text").cast("string").alias("text"))
     wanted = placed.select("print").distinct()
     texts = text.join(wanted, "print", "left_semi").groupBy("print").agg(F.first("text").alias("text"))
@@ -280,21 +289,47 @@ def similar_edges(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each component of ``docs`` under shingle similarity, the one with the
-    least id (one without an id only where no row of the component has one); all
-    columns.  Rows are told apart by id and text, so clashing ids do no harm."""
-    common.ship(docs.sparkSession)
-    text = F.col("text").cast("string")
-    sent = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("print"), text.alias("text"))
-    rows = common.materialise(sent.mapInArrow(_signatures, "doc_id long, print long, set long, bands array<long>"), "signatures")
+    """One row of each component of ``docs``, the one with the least id (one without an
+    id only where no row of the component has one); all columns.  Rows are told apart by
+    id and text, so clashing ids do no harm.  Texts stay where they are, but for those of
+    rows that go, or stand there twice, and of a few more that the filter of bits cannot
+    tell from them."""
+    spark = docs.sparkSession
+    common.ship(spark)
+    text, own = F.col("text").cast("string"), F.col("doc_id").cast("long")
+    sent = docs.select(own.alias("doc_id"), F.xxhash64(text).alias("print"), text.alias("text"))
+    rows = common.materialise(sent.mapInArrow(_signatures, "doc_id long, print long, fp long, set long, size long, bands array<long>"), "signatures")
     order = F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "print")
-    classes = common.materialise(rows.groupBy("set").agg(F.min(order).alias("least"), F.min("print").alias("print"), F.first("bands").alias("bands")), "sets")
-    found = components(common.materialise(similar_edges(docs, classes), "similar")).toDF("set", "component")
-    member = classes.select("set", "least").join(found, "set", "left").withColumn("component", F.coalesce("component", "set"))
-    first = member.groupBy("component").agg(F.min("least").alias("least"))
-    first = common.materialise(first.select(F.col("component").alias("_component"), F.col("least.doc_id").alias("_id"), F.col("least.print").alias("_print")), "kept")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_print"))
-    return docs.join(first, same).dropDuplicates(["_component"]).select(*docs.columns)
+    classes = rows.groupBy("set").agg(F.min(order).alias("least"), F.min("print").alias("print"), F.max("size").alias("size"), F.first("bands").alias("bands"))
+    classes = common.materialise(classes, "sets")
+    prints = common.materialise(rows.groupBy("fp").agg(F.min("set").alias("head")), "heads")
+    near = near_edges(prints.select("fp"))
+    head = lambda side: prints.select(F.col("fp").alias(side), F.col("head").alias(f"{side}_set"))
+    near = near.join(head("u"), "u").join(head("v"), "v").select("u_set", "v_set")
+    alike = rows.select("fp", "set").distinct().join(prints, "fp").where("set <> head").select("set", "head")
+    edges = common.materialise(similar_edges(docs, classes).unionAll(near).unionAll(alike), "similar")
+    member = classes.select("set", "least").join(components(edges).toDF("set", "component"), "set", "left").withColumn("component", F.coalesce("component", "set"))
+    first = member.groupBy("component").agg(F.min("least").alias("least")).select("least.doc_id", "least.print", F.lit(True).alias("first"))
+    seen = rows.groupBy("doc_id", "print").agg(F.count("*").alias("n"))
+    same = F.col("s.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("s.print") == F.col("f.print"))
+    listed = seen.alias("s").join(first.alias("f"), same, "left").select("s.doc_id", "s.print", "n", F.coalesce("first", F.lit(False)).alias("first"))
+    listed = common.materialise(listed.where("n > 1 or not first").select(F.col("doc_id").alias("_id"), F.col("print").alias("_print"), "first"), "listed")
+    bits = spark.sparkContext.broadcast(bloom.build(listed.select(F.xxhash64("_id", "_print").alias("key")), F.col("key")))
+
+    def passing(hit: bool):
+        def run(batches):
+            for batch in batches:
+                found = bloom.may_hold(bits.value, batch.column(batch.num_columns - 1).to_numpy().view(np.uint64))
+                yield batch.filter(pa.array(found == hit)).select(list(range(batch.num_columns - 1)))
+
+        return plain.withColumn("key", F.xxhash64(own, F.xxhash64(text))).mapInArrow(run, plain.schema)
+
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # no name of the caller's clashes
+    own, text = (F.col(f"c{docs.columns.index(c)}").cast(t) for c, t in (("doc_id", "long"), ("text", "string")))
+    place = own.eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_print"))
+    doubtful = passing(True).join(listed, place, "left").where(F.coalesce("first", F.lit(True)))
+    once = doubtful.where("first").dropDuplicates(["_id", "_print"])
+    return passing(False).unionAll(doubtful.where("first is null").unionAll(once).select(*plain.columns)).toDF(*docs.columns)
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:

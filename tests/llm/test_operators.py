@@ -7,6 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -270,6 +271,19 @@ def test_simhash(spark, docs, empty, real):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).count() == 0
 
 
+def plain_fingerprint(text):
+    """The contract's fingerprint, bit by bit."""
+    w = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m.group().lower(), (text or "").encode()))
+    h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + 4]), 42) for i in range(max(len(w) - 3, 1))] if w else []
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_fingerprints_by_brute_force(docs, real):
+    for part in (docs.where("doc_id is null or doc_id <> 3"), real):
+        want = sorted((-1 if i is None else i, f"{plain_fingerprint(t):016x}") for i, t in texts(part))
+        assert sorted((-1 if r.doc_id is None else r.doc_id, r.fingerprint) for r in simhash.near_duplicates(part).collect()) == want
+
+
 def test_keep_one_links_by_shingle_similarity(spark, monkeypatch):
     rng = random.Random(13)
     word = lambda: "".join(rng.choices("abcdefghij", k=6))
@@ -282,23 +296,26 @@ def test_keep_one_links_by_shingle_similarity(spark, monkeypatch):
                 copy[at] = word()
             rows.append((len(rows), " ".join(copy)))
             sets.append({tuple(copy[i : i + 5]) for i in range(116)})
-    root = list(range(len(rows)))
+    root, prints = list(range(len(rows))), [plain_fingerprint(t) for _, t in rows]
     find = lambda a: a if root[a] == a else find(root[a])
     for a, b in combinations(range(len(rows)), 2):
-        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) or (prints[a] ^ prints[b]).bit_count() <= 4:
             lo, hi = sorted((find(a), find(b)))
             root[hi] = lo
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for block in (None, 3):
-        if block:
-            monkeypatch.setattr(simhash, "BLOCK", block)
+    for block, size in ((256, 1 << 20), (3, 1 << 20), (256, 350)):
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        monkeypatch.setattr(simhash, "BLOCK_SHINGLES", size)
         assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == sorted({find(i) for i in range(len(rows))})
 
 
 def test_keep_one_with_clashing_ids(spark):
-    rows = [(1, "a b c d e f g"), (1, "t u v w x y z"), (2, "t u v w x y z"), (3, "a b c d e f g")]
-    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted(tuple(r) for r in kept) == rows[:2]
+    first, second = "a b c d e f g", "t u v w x y z"
+    cases = [[(1, first), (1, second), (2, second), (3, first)], [(2, second), (4, first), (4, second)]]
+    for rows, want in zip(cases, ([(1, first), (1, second)], [(2, second), (4, first)])):
+        for some in (rows, rows[::-1], rows + rows):
+            kept = simhash.keep_one(spark.createDataFrame(some, "doc_id long, text string")).collect()
+            assert sorted(tuple(r) for r in kept) == want
 
 
 def removed(parts):

@@ -39,6 +39,7 @@ from confluo.llm import bloom, common
 from confluo.llm import suffix_index as X
 
 LIMIT = 4096
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 BATCH_BYTES, SHARD_BYTES = 1 << 19, 4 << 20
 _ROWS = 500
 
@@ -84,7 +85,7 @@ def _rows(sent):
                     at += 1
             columns = [
                 range(row, row + len(raws)), batch.column(0).to_pylist(), [len(r) for r in raws], [None if c else hashlib.sha256(r).hexdigest() for r, c in zip(raws, some)],
-                [r if c else None for r, c in zip(raws, some)], [c or None for c in some],
+                [pa.compress(r, "zstd", asbytes=True) if c else None for r, c in zip(raws, some)], [c or None for c in some],
             ]
             row += len(raws)
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, _ROW)], schema=_ROW)
@@ -92,16 +93,38 @@ def _rows(sent):
     return run
 
 
-def _pieces(batches):
-    """What the wanted contexts of each row hold."""
-    for batch in _slices(batches):
-        out: list[list] = [[] for _ in range(4)]
-        for data, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            words = data.split() if any(c["unit"] for c in wanted) else []
-            for c in wanted:
-                for column, value in zip(out, (c["unit"], c["key"], c["digest"], _part(X.UNITS[c["unit"]], data, words, c["start"], c["size"]))):
-                    column.append(value)
-        yield pa.record_batch([pa.array(c, t) for c, t in zip(out, (pa.int8(), pa.int64(), pa.binary(), pa.binary()))], ["unit", "key", "digest", "data"])
+def _pieces(sent, routed, crowded: bool):
+    """What those contexts of each row hold that the filter of wanted ones lets pass, of
+    the minimisers that the filter of crowded ones lets pass, or of the others."""
+
+    def run(batches):
+        for batch in _slices(batches):
+            some = batch.column(2).flatten()
+            row = np.repeat(np.arange(batch.num_rows), batch.column(2).value_lengths().to_numpy())
+            at, key = (some.field(n).to_numpy() for n in ("at", "key"))
+            hit = np.flatnonzero(bloom.may_hold(sent.value, _mixed(at)) & (bloom.may_hold(routed.value, key.view(np.uint64)) == crowded))
+            out, raw, words, last = [], b"", [], -1
+            picked = some.take(pa.array(hit))
+            for i, number, start, size in zip(row[hit].tolist(), *(picked.field(n).to_pylist() for n in ("unit", "start", "size"))):
+                if i != last:
+                    raw, words, last = pa.decompress(batch.column(1)[i].as_py(), batch.column(0)[i].as_py(), "zstd", asbytes=True), [], i
+                if number and not words:
+                    words = raw.split()
+                out.append(_part(X.UNITS[number], raw, words, start, size))
+            yield pa.record_batch([picked.field("unit"), picked.field("key"), picked.field("digest"), pa.array(out, pa.binary())], ["unit", "key", "digest", "data"])
+
+    return run
+
+
+def _mixed(numbers: np.ndarray) -> np.ndarray:
+    """Spreads the numbers of contexts over 64 bits."""
+    h = numbers.astype(np.uint64) * _ODD
+    return h ^ (h >> np.uint64(32))
+
+
+def _mixed_numbers(batches):
+    for batch in batches:
+        yield pa.record_batch([pa.array(_mixed(batch.column(0).to_numpy()).view(np.int64))], ["key"])
 
 
 _SPAN_TYPE = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
@@ -122,7 +145,7 @@ def _spans(unit: X.Unit, marks: np.ndarray) -> list[dict]:
 
 def _match(batches):
     """Rows (unit, shard, digest, data) sorted by unit and shard, in the order in which
-    they arrive."""
+    they arrive.  Of equal contexts the first counts."""
 
     def found(unit: X.Unit, family: X.Family, parts: list, names: list[bytes]):
         if parts:
@@ -130,13 +153,16 @@ def _match(batches):
         out = [(names[i], _spans(unit, m)) for i, m in family.found()]
         return pa.record_batch([pa.array([n for n, _ in out], pa.binary()), pa.array([s for _, s in out], _SPAN_TYPE)], ["digest", "spans"])
 
-    family, parts, names, size, last = None, [], [], 0, None
+    family, parts, names, known, size, last = None, [], [], set(), 0, None
     for batch in batches:
         for number, shard, digest, data in zip(*(c.to_pylist() for c in batch.columns)):
             if (number, shard) != last:
                 if family:
                     yield found(X.UNITS[last[0]], family, parts, names)
-                family, parts, names, size, last = X.Family(X.UNITS[number]), [], [], 0, (number, shard)
+                family, parts, names, known, size, last = X.Family(X.UNITS[number]), [], [], set(), 0, (number, shard)
+            if digest in known:
+                continue
+            known.add(digest)
             parts.append((len(names), X.UNITS[number].symbols(data)))
             names.append(digest)
             size += len(data)
@@ -180,7 +206,8 @@ def _cut(batches):
     """Removes the ranges of bytes of each row, and counts its ranges of words."""
     for batch in batches:
         out = []
-        for doc_id, data, spans, words in zip(*(c.to_pylist() for c in batch.columns)):
+        for doc_id, n, data, spans, words in zip(*(c.to_pylist() for c in batch.columns)):
+            data = pa.decompress(data, n, "zstd", asbytes=True)
             gone, at, kept = _covered(spans), 0, []
             for s, e in gone:
                 kept.append(data[at:s])
@@ -202,8 +229,8 @@ def _sharded(contexts: DataFrame, held: dict[int, int]) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows, spans).  rows: every document once, with its bytes only if some of its
-    windows may repeat; spans: row, spans (arrays of s, e) of the repeated bytes and
+    """(rows, spans).  rows: every document once, with its bytes (compressed) only if
+    some of its windows may repeat; spans: row, spans (arrays of s, e) of the repeated bytes and
     words."""
     spark = docs.sparkSession
     common.ship(spark)
@@ -219,16 +246,18 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     keys = common.materialise(different.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "keys")
     wanted = common.materialise(different.join(keys, "key").select("at", "unit", "size", (F.col("m") > LIMIT).alias("crowded")), "wanted")
     total = {(r["unit"], r["crowded"]): r["b"] for r in wanted.groupBy("unit", "crowded").agg(F.sum("size").alias("b")).collect()}
-
-    def pieces(crowded: bool) -> DataFrame:
-        mine = seen.join(wanted.where(F.col("crowded") == crowded).select("at"), "at").groupBy("row").agg(F.collect_list(F.struct("unit", "key", "digest", "start", "size")).alias("c"))
-        return held.select("row", "data").join(mine, "row").select("data", "c").mapInArrow(_pieces, "unit byte, key long, digest binary, data binary")
-
+    want = spark.sparkContext.broadcast(bloom.build(wanted.select("at").mapInArrow(_mixed_numbers, "key long"), F.col("key")))
+    # all contexts of a minimiser take one way, a few of those of uncrowded ones the long one
+    route = spark.sparkContext.broadcast(bloom.build(keys.where(F.col("m") > LIMIT), F.col("key")))
+    pieces = lambda crowded: held.select("n_bytes", "data", "contexts").mapInArrow(_pieces(want, route, crowded), "unit byte, key long, digest binary, data binary")
     found = _sharded(pieces(False), {u: b for (u, crowded), b in total.items() if not crowded}).mapInArrow(_match, f"digest binary, spans {SPANS}")
     if any(crowded for _, crowded in total):
-        windows = common.materialise(pieces(True).select("unit", "digest", "data").mapInArrow(_windows, "digest binary, s int, h1 long, h2 long"), "windows")
-        again = common.materialise(windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), "again")
-        windows = windows.join(again, ["h1", "h2"]).groupBy("digest").agg(F.collect_list("s").alias("at"))
+        windows = pieces(True).select("unit", "digest", "data").mapInArrow(_windows, "digest binary, s int, h1 long, h2 long")
+        windows = common.materialise(windows.withColumn("place", F.xxhash64("digest", "s")), "windows")
+        # the filter may let a context pass twice, so places are compared, not counted
+        again = windows.groupBy("h1", "h2").agg(F.min("place").alias("a"), F.max("place").alias("b")).where("a < b").select("h1", "h2")
+        again = common.materialise(again, "again")
+        windows = windows.join(again, ["h1", "h2"]).groupBy("digest").agg(F.collect_set("s").alias("at"))
         size = F.when(F.col("unit") == 0, X.BYTES.window).otherwise(X.WORDS.window)
         windows = windows.join(different.select("digest", size.alias("size")), "digest")
         found = found.unionAll(windows.select("digest", F.transform("at", lambda s: F.struct(s.alias("s"), (s + F.col("size")).alias("e")))))
@@ -248,7 +277,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     table, spans = repeated_spans(docs)
     none = F.lit(0).cast("long")
     whole = table.where("contexts is null").select("doc_id", "n_bytes", none, none, "sha", none, F.lit(None).cast("binary"))
-    cut = table.where("contexts is not null").select("row", "doc_id", "data").join(spans, "row", "left").select("doc_id", "data", "spans", "words").mapInArrow(_cut, RESULT)
+    cut = table.where("contexts is not null").select("row", "doc_id", "n_bytes", "data").join(spans, "row", "left").select("doc_id", "n_bytes", "data", "spans", "words").mapInArrow(_cut, RESULT)
     return cut.unionAll(whole)
 
 

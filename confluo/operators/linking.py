@@ -75,11 +75,16 @@ def exact_edges(records: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFram
     return reduce(DataFrame.unionByName, out)
 
 
-def _greedy(edges: pd.DataFrame, members: pd.DataFrame, order: list[str], ascending: list[bool], barred: set | None = None):
-    """Replays ordered edges; yields (edge row, accepted, reason) and leaves roots."""
+def _greedy(edges: pd.DataFrame, members: pd.DataFrame, order: list[str], ascending: list[bool]):
+    """Replays ordered edges; rows marked ``barred`` are pairs that may never meet.
+    Returns the decisions (left, right, rule, accepted, reason) and (id, root)."""
     parent = {m: m for m in members["id"]}
-    portal = {i: set(filter(None, [p])) for i, p in zip(members["id"], members["portal"])}
-    born = {i: set(filter(None, [d])) for i, d in zip(members["id"], members["dob"])}
+    portal = {i: set(filter(None, p)) for i, p in zip(members["id"], members["portal"])}
+    born = {i: set(filter(None, d)) for i, d in zip(members["id"], members["dob"])}
+    apart = {i: set() for i in parent}
+    for e in edges[edges["barred"]].itertuples(index=False):
+        apart[e.left].add(e.right)
+        apart[e.right].add(e.left)
 
     def find(x):
         while parent[x] != x:
@@ -88,12 +93,14 @@ def _greedy(edges: pd.DataFrame, members: pd.DataFrame, order: list[str], ascend
         return x
 
     decisions = []
-    for e in edges.sort_values(order, ascending=ascending, kind="stable").itertuples(index=False):
+    for e in edges[~edges["barred"]].sort_values(order, ascending=ascending, kind="stable").itertuples(index=False):
         a, b = find(e.left), find(e.right)
         if a == b:
             continue
         reason = ""
-        if portal[a] and portal[b] and not portal[a] & portal[b]:
+        if any(find(x) == b for x in apart[a]):
+            reason = "prohibited"
+        elif portal[a] and portal[b] and not portal[a] & portal[b]:
             reason = "portal conflict"
         elif not e.authoritative and born[a] and born[b] and not born[a] & born[b]:
             reason = "date of birth conflict"
@@ -103,17 +110,24 @@ def _greedy(edges: pd.DataFrame, members: pd.DataFrame, order: list[str], ascend
             parent[b] = a
             portal[a] |= portal[b]
             born[a] |= born[b]
+            apart[a] |= apart[b]
     return decisions, [(m, find(m)) for m in members["id"]]
 
 
-def constrained_clusters(records: DataFrame, edges: DataFrame, order: tuple[str, ...] = ("priority", "key", "left", "right"), descending: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """records: id, portal, dob ("" if unknown).  Returns (id, cluster), cluster the
-    least id in it, and the decisions (left, right, rule, accepted, reason)."""
+def constrained_clusters(records: DataFrame, edges: DataFrame, order: tuple[str, ...] = ("priority", "key", "left", "right"), descending: tuple[str, ...] = (), barred: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """records: id, and portal and dob, the known value ("" if none) or an array of such
+    values; sets that do not meet are a conflict.  ``barred`` (left, right): pairs of ids that may not meet, through others either.  Returns (id, cluster),
+    cluster the least id in it, and the decisions (left, right, rule, accepted, reason)."""
     ascending = [c not in descending for c in order]
+    records = records.withColumns({c: F.array(F.coalesce(c, F.lit(""))) for c in ("portal", "dob") if dict(records.dtypes)[c] == "string"})
     edges = cut(edges, "edges")
     comp = cut(components(edges, "left", "right"), "components")
     member = cut(records.join(comp, records["id"] == comp["node"]).drop("node"), "members")
-    placed = edges.join(comp.withColumnRenamed("node", "left"), "left")
+    placed = edges.join(comp.withColumnRenamed("node", "left"), "left").withColumn("barred", F.lit(False))
+    if barred is not None:
+        ends = [comp.select(F.col("node").alias(side), F.col("component").alias(c)) for side, c in (("left", "component"), ("right", "other"))]
+        inside = barred.select("left", "right").join(ends[0], "left").join(ends[1], "right").where("component = other").drop("other")
+        placed = cut(placed.unionByName(inside.withColumn("barred", F.lit(True)), allowMissingColumns=True), "placed")
 
     def replay(kind: str, schema: str):
         def run(e: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
@@ -122,8 +136,9 @@ def constrained_clusters(records: DataFrame, edges: DataFrame, order: tuple[str,
 
         return run, schema
 
-    risky = member.groupBy("component").agg(F.count_distinct(F.nullif("portal", F.lit(""))).alias("p"), F.count_distinct(F.nullif("dob", F.lit(""))).alias("d"))
-    risky = cut(risky.where("p > 1 or d > 1").select("component"), "risky")
+    known = member.select("component", F.explode(F.concat(*[F.transform(c, lambda v, c=c: F.struct(F.lit(c).alias("kind"), v.alias("value"))) for c in ("portal", "dob")])).alias("e")).select("component", "e.*")
+    several = known.where("value <> ''").distinct().groupBy("component", "kind").count().where("count > 1").select("component")
+    risky = cut(several.unionAll(placed.where("barred").select("component")).distinct(), "risky")
     fn, schema = replay("roots", "id string, cluster string")
     replayed = placed.join(risky, "component", "left_semi").groupBy("component").cogroup(member.join(risky, "component", "left_semi").groupBy("component")).applyInPandas(fn, schema)
     safe = member.join(risky, "component", "left_anti").select("id", F.col("component").alias("cluster"))
@@ -212,13 +227,19 @@ def static_conflict(scores: DataFrame, profile: DataFrame, prohibited: DataFrame
 
 def probabilistic(records: DataFrame, prohibited: DataFrame, automatic: float = 0.91, review: float = 0.70, least: float = 0.55, cap: int = BLOCK_CAP) -> tuple[DataFrame, DataFrame]:
     """records: silver columns plus ``cluster``.  Returns (cluster, merged) and the
-    scored, classified cluster pairs."""
+    scored, classified cluster pairs with merge_performed and final_reason."""
     pairs = blocked_pairs(records, block_keys(), cap=cap)
     profile = cut(profiles(records), "profiles")
     scored = static_conflict(score_pairs(pairs, records), profile, prohibited)
     decision = S.classify(F.col("conflict") != "", F.col("score"), F.col("coverage"), S.supported(F.col("strong"), F.col("corroborating"), F.col("supporting")), automatic, review, least)
     scored = cut(scored.withColumn("decision", decision), "scored")
     edges = scored.where("decision = 'automatic'").select(F.col("cluster_id_1").alias("left"), F.col("cluster_id_2").alias("right"), "score", "coverage", F.lit("FUZZY").alias("rule"), F.lit(False).alias("authoritative"))
-    one = profile.select(F.col("cluster").alias("id"), F.array_join("portals", "|").alias("portal"), F.array_join("births", "|").alias("dob"))
-    merged, _ = constrained_clusters(one, edges, ("score", "coverage", "left", "right"), ("score", "coverage"))
-    return merged.toDF("cluster", "merged"), scored
+    one = profile.select(F.col("cluster").alias("id"), F.col("portals").alias("portal"), F.col("births").alias("dob"))
+    merged, decided = constrained_clusters(one, edges, ("score", "coverage", "left", "right"), ("score", "coverage"), prohibited)
+    decided = decided.select(F.col("left").alias("cluster_id_1"), F.col("right").alias("cluster_id_2"), F.col("accepted").alias("merge_performed"), "reason")
+    scored = scored.join(decided, ["cluster_id_1", "cluster_id_2"], "left")
+    # a pair whose clusters were together already has no decision of its own
+    joined = (F.col("decision") == "automatic") & F.col("merge_performed").isNull()
+    reason = F.when(F.col("conflict") != "", F.col("conflict")).when(joined, "accepted_transitive_support").otherwise(F.coalesce("reason", F.lit("")))
+    scored = scored.withColumns({"merge_performed": F.coalesce("merge_performed", F.lit(False)), "final_reason": reason}).drop("reason")
+    return merged.toDF("cluster", "merged"), cut(scored, "decided")

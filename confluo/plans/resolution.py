@@ -71,7 +71,7 @@ def resolve(all_: DataFrame, settings: Settings = Settings()) -> Resolved:
     Anonymous sessions take part in neither and get no entity."""
     anonymous = linking.anonymous()
     eligible = cut(all_.where(~anonymous), "eligible")
-    nodes = eligible.select(F.col("staging_record_id").alias("id"), F.col("portal_user_id").alias("portal"), F.col("date_of_birth_normalised").alias("dob"))
+    nodes = eligible.select(F.col("staging_record_id").alias("id"), F.array(F.coalesce("portal_user_id", F.lit(""))).alias("portal"), F.array(F.coalesce("date_of_birth_normalised", F.lit(""))).alias("dob"))
     exact, decisions = linking.constrained_clusters(nodes, linking.exact_edges(eligible))
     exact, decisions = cut(exact.toDF("staging_record_id", "cluster"), "exact"), cut(decisions, "decisions")
     clustered = cut(eligible.join(exact, "staging_record_id"), "clustered")
@@ -84,10 +84,8 @@ def resolve(all_: DataFrame, settings: Settings = Settings()) -> Resolved:
     parts = merged.groupBy("merged").agg(F.count("*").alias("deterministic_cluster_count"))
     found = clustered.select("staging_record_id", "source_system", "source_record_id", F.col("cluster").alias("deterministic_cluster_id")).join(merged.withColumnRenamed("cluster", "deterministic_cluster_id"), "deterministic_cluster_id")
     found = entities.stable_ids(cut(found.withColumnRenamed("merged", "cluster"), "found"))
-    # The confidence of an entity joined by the fuzzy stage is its least accepted score.
-    side = merged.select(F.col("cluster").alias("cluster_id_1"), F.col("merged").alias("a"))
-    other = merged.select(F.col("cluster").alias("cluster_id_2"), F.col("merged").alias("b"))
-    edges = scored.where("decision = 'automatic'").join(side, "cluster_id_1").join(other, "cluster_id_2").where("a = b").select(F.col("a").alias("merged"), "score")
+    # The confidence of an entity joined by the fuzzy stage is the least score of a merge.
+    edges = scored.where("merge_performed").join(merged.withColumnRenamed("cluster", "cluster_id_1"), "cluster_id_1").select("merged", "score")
     clusters = found.groupBy("ucr_id", "cluster").agg(
         F.count("*").alias("cluster_size"), F.count_distinct("source_system").alias("source_system_count"), T.joined_list(F.col("source_system")).alias("source_systems"), F.min("staging_record_id").alias("first_record"))
     clusters = clusters.join(parts.withColumnRenamed("merged", "cluster"), "cluster").join(entities.confidence(edges).withColumnRenamed("merged", "cluster"), "cluster", "left")

@@ -112,3 +112,24 @@ def test_csv_round_trip(spark, tmp_path):
     systems.write_csv(df, str(tmp_path / "t"))
     back = systems.read_csv(spark, str(tmp_path / "t"))
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+
+
+def clusters_of(spark, records, edges, barred=()):
+    r = spark.createDataFrame(records, "id string, portal array<string>, dob array<string>")
+    e = spark.createDataFrame(edges, "left string, right string, score double, rule string, authoritative boolean")
+    b = spark.createDataFrame(list(barred), "left string, right string")
+    found, decisions = linking.constrained_clusters(r, e, ("score", "left", "right"), ("score",), b)
+    return dict(found.collect()), {(x.left, x.right): (x.accepted, x.reason) for x in decisions.collect()}
+
+
+def test_sets_of_values_conflict_only_if_they_do_not_meet(spark):
+    records = [("a", [], ["1990-01-01", "1991-02-02"]), ("b", [], ["1990-01-01"]), ("c", [], ["1999-09-09"])]
+    found, decisions = clusters_of(spark, records, [("a", "b", 0.95, "FUZZY", False), ("b", "c", 0.92, "FUZZY", False)])
+    assert found == {"a": "a", "b": "a", "c": "c"}
+    assert decisions == {("a", "b"): (True, ""), ("b", "c"): (False, "date of birth conflict")}
+
+
+def test_prohibited_pairs_do_not_meet_through_a_third(spark):
+    edges = [("a", "b", 0.97, "FUZZY", False), ("b", "c", 0.95, "FUZZY", False), ("c", "d", 0.93, "FUZZY", False)]
+    found, decisions = clusters_of(spark, [(i, [], []) for i in "abcd"], edges, [("c", "a")])
+    assert found == {"a": "a", "b": "a", "c": "c", "d": "c"} and decisions["b", "c"] == (False, "prohibited")

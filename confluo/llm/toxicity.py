@@ -315,5 +315,5 @@ def offending(text: str | None, marginals: np.ndarray, least: float = 0.5) -> li
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     field = train(docs, common.table(spark, sf_dir, "labels"))
-    scored = toxic_scores(docs, field)
-    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    scored = toxic_scores(docs, field, spans=True)
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")

@@ -68,12 +68,19 @@ def tile_links(x: np.ndarray, first: np.ndarray, within: bool, threshold: float
     return out
 
 
+def _keys(rows) -> np.ndarray:
+    """The tiles of the rows of a batch or table: number of the label, both blocks."""
+    return np.column_stack([rows.column(i).to_numpy() for i in range(3)])
+
+
 def _tiles(threshold: float):
+    """Rows come sorted by tile; the rows of a tile are held together."""
+
     def run(batches):
         def flush(rows: list[pa.RecordBatch]):
             t = pa.Table.from_batches(rows).combine_chunks()
-            key = t.column("tile").to_numpy()
-            cut = np.flatnonzero(key[1:] != key[:-1]) + 1
+            key = _keys(t)
+            cut = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
             out = [[], [], []]
             for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(key)]):
                 part = t.slice(lo, hi - lo)
@@ -95,17 +102,18 @@ def _tiles(threshold: float):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key = batch.column(0).to_numpy()
-            other = np.flatnonzero(key != key[-1])
-            if held and (len(other) or held[-1].column(0)[0].as_py() != key[0]):
-                head = int(np.flatnonzero(key != held[-1].column(0)[0].as_py())[0])
-                yield flush([*held, batch.slice(0, head)] if head else held)
+            key = _keys(batch)
+            new = np.flatnonzero((key != last).any(axis=1)) if held else key[:0, 0]
+            if len(new):
+                head = int(new[0])
+                yield flush([*held, batch.slice(0, head)])
                 held, batch, key = [], batch.slice(head), key[head:]
-                other = np.flatnonzero(key != key[-1])
+            other = np.flatnonzero((key != key[-1]).any(axis=1))
             if len(other):
                 yield flush([batch.slice(0, int(other[-1]) + 1)])
                 batch = batch.slice(int(other[-1]) + 1)
             held.append(batch)
+            last = key[-1]
         if held:
             yield flush(held)
 
@@ -123,7 +131,9 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     good = rows.where(F.coalesce(usable, F.lit(False)))
     classes = common.materialise(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("weight")), "vectors")
     size = F.size(e).alias("dim")
-    counts = common.materialise(classes.groupBy("label", size).agg(F.count("*").alias("n")), "labels")
+    counts = classes.groupBy("label", size).agg(F.count("*").alias("n"))
+    # the number names a label and length in tiles; it is fixed once written
+    counts = common.materialise(counts.withColumn("no", F.monotonically_increasing_id()), "labels")
     blocks = F.ceil(F.col("n") / TILE).cast("long")
     tiles = (
         classes.withColumn("dim", size)
@@ -133,11 +143,11 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         .withColumn("lo", F.least("block", "other"))
         .withColumn("hi", F.greatest("block", "other"))
         .select(
-            F.xxhash64("label", "dim", "lo", "hi").alias("tile"), "node", "weight", "embedding",
+            "no", "lo", "hi", "node", "weight", "embedding",
             (F.col("block") == F.col("lo")).alias("first"), (F.col("lo") == F.col("hi")).alias("within"),
         )
     )
-    dealt = tiles.repartition("tile").sortWithinPartitions("tile")
+    dealt = tiles.repartition("no", "lo", "hi").sortWithinPartitions("no", "lo", "hi")
     found = common.materialise(dealt.mapInArrow(_tiles(threshold), "node long, links long, root long"), "tiles")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     member = components(found, "node", "root")

@@ -4,8 +4,9 @@ Three fixed patterns give the base spans.  They are cut out of the candidate run
 each piece left that is long enough is scored by the log-likelihood ratio, per character, of a Markov model of random strings against
 one of ordinary identifiers.  Both are trained on labelled samples: the strings that
 the base patterns match are random, the words around them are ordinary.  At most
-``SAMPLE`` documents with a base match, first by hash of their id, train the models;
-the scan itself covers every whole text.  All of it is DataFrame expressions.
+``SAMPLE`` different documents with a base match, first by hash of their id, train the
+models: their ids are chosen first, and only their texts move.  The scan itself covers
+every whole text.  All of it is DataFrame expressions.
 
 Defined cases: a null or empty text has no spans; a null id stays null; repeated rows
 are scanned row by row; without any base match in the table the models are equal and
@@ -93,8 +94,13 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> list[float] | None:
     None without a labelled sample.  What reaches the driver is at most one row for
     each pair of characters and model."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    spanned = docs.select("doc_id", text.alias("text")).withColumn("base", base_spans(F.col("text"))).where(F.size("base") > 0)
-    chosen = common.materialise(spanned.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample), "labelled")
+    keyed = docs.select("doc_id", text.alias("text")).withColumn("print", F.xxhash64("text"))
+    matching = keyed.where(F.size(base_spans(F.col("text"))) > 0).select("doc_id", "print").distinct()
+    ids = common.materialise(matching.orderBy(F.xxhash64("doc_id"), "doc_id", "print").limit(sample).toDF("_id", "_print"), "labelled-ids")
+    own = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("print") == F.col("_print"))
+    # at most ``sample`` short rows; texts are fetched where they lie, repeated rows once
+    fetched = keyed.join(F.broadcast(ids), own).groupBy("doc_id", "print").agg(F.first("text").alias("text"))
+    chosen = common.materialise(fetched.withColumn("base", base_spans(F.col("text"))), "labelled")
     secret = F.explode(F.transform("base", lambda x: F.regexp_extract(_piece(F.col("text"), x), r"([A-Za-z0-9+/_=-]+)[^A-Za-z0-9+/_=-]*$", 1)))
     cleaned = F.col("text")
     for _, pattern, _, least in BASE:

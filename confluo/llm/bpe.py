@@ -5,7 +5,8 @@ never lets a token begin before such a space or run across such a line feed, so
 every cut piece can be tokenised alone and remembered.  Texts in which two white
 space characters touch go through the whole pattern instead.
 
-The memories are caches with a fixed number of entries (``CACHE_ENTRIES``); once one
+The memories are caches with a fixed number of entries (``CACHE_ENTRIES``, for identifiers
+``ID_ENTRIES``); once one
 is full, further pieces are computed each time, which changes speed and never results.
 """
 
@@ -18,7 +19,7 @@ import os
 import re
 from array import array
 
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES, ID_ENTRIES = 500_000, 100_000
 _ADJACENT_SPACE = re.compile(r"\s\s")
 
 
@@ -38,13 +39,13 @@ def byte_symbols() -> list[str]:
 class _Cache(dict):
     """A bounded memory of a function of a string."""
 
-    def __init__(self, compute, prefix: str = ""):
+    def __init__(self, compute, prefix: str = "", entries: int = CACHE_ENTRIES):
         super().__init__()
-        self.compute, self.prefix = compute, prefix
+        self.compute, self.prefix, self.entries = compute, prefix, entries
 
     def __missing__(self, key):
         value = self.compute(self.prefix + key)
-        if len(self) < CACHE_ENTRIES:
+        if len(self) < self.entries:
             self[key] = value
         return value
 
@@ -140,16 +141,15 @@ class IdEncoder:
     def __init__(self, path: str, pattern: str, ranks: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path, self.tokenizer = path, None
         with open(path, encoding="utf-8") as f:
             self.special = [t["content"] for t in json.load(f).get("added_tokens", [])]
         with open(ranks, "rb") as f:
             table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
         self.plain = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={}).encode_ordinary
-        self.first = _Cache(self._pieces)
-        self.spaced = _Cache(self._pieces, " ")
+        self.first = _Cache(self._pieces, entries=ID_ENTRIES)
+        self.spaced = _Cache(self._pieces, " ", ID_ENTRIES)
         self.feed = self._pieces("\n")
 
     def _pieces(self, text: str) -> bytes:
@@ -157,6 +157,10 @@ class IdEncoder:
 
     def encode(self, text: str) -> bytes:
         if any(s in text for s in self.special):
+            if self.tokenizer is None:  # read when first needed: it takes memory in every worker
+                from tokenizers import Tokenizer
+
+                self.tokenizer = Tokenizer.from_file(self.path)
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         if _ADJACENT_SPACE.search(text):
             return self._pieces(text)

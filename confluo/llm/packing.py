@@ -139,7 +139,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = 0, vocabulary:
         if out:
             yield _batch(out)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECE_SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(common.lean(run), PIECE_SCHEMA)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

@@ -82,7 +82,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fps = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.record_batch([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(common.lean(run), "doc_id long, fp long")
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -158,7 +158,7 @@ def near_edges(fps: DataFrame) -> DataFrame:
         .select(F.col("triple").cast("long").alias("triple"), "bytes", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "fp")
     )
     dealt = tiles.repartition("triple", "bytes", "lo", "hi").sortWithinPartitions("triple", "bytes", "lo", "hi")
-    return dealt.mapInArrow(_tile_edges, "u long, v long")
+    return dealt.mapInArrow(common.lean(_tile_edges), "u long, v long")
 
 
 def _classes(rows: DataFrame) -> DataFrame:
@@ -285,7 +285,7 @@ def similar_edges(docs: DataFrame, classes: DataFrame) -> DataFrame:
         .select("group", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "set", "text")
     )
     dealt = tiles.repartition("group", "lo", "hi").sortWithinPartitions("group", "lo", "hi")
-    return dealt.mapInArrow(_similar_edges, "u long, v long")
+    return dealt.mapInArrow(common.lean(_similar_edges), "u long, v long")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -298,7 +298,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     common.ship(spark)
     text, own = F.col("text").cast("string"), F.col("doc_id").cast("long")
     sent = docs.select(own.alias("doc_id"), F.xxhash64(text).alias("print"), text.alias("text"))
-    rows = common.materialise(sent.mapInArrow(_signatures, "doc_id long, print long, fp long, set long, size long, bands array<long>"), "signatures")
+    rows = common.materialise(sent.mapInArrow(common.lean(_signatures), "doc_id long, print long, fp long, set long, size long, bands array<long>"), "signatures")
     order = F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "print")
     classes = rows.groupBy("set").agg(F.min(order).alias("least"), F.min("print").alias("print"), F.max("size").alias("size"), F.first("bands").alias("bands"))
     classes = common.materialise(classes, "sets")
@@ -322,7 +322,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
                 found = bloom.may_hold(bits.value, batch.column(batch.num_columns - 1).to_numpy().view(np.uint64))
                 yield batch.filter(pa.array(found == hit)).select(list(range(batch.num_columns - 1)))
 
-        return plain.withColumn("key", F.xxhash64(own, F.xxhash64(text))).mapInArrow(run, plain.schema)
+        return plain.withColumn("key", F.xxhash64(own, F.xxhash64(text))).mapInArrow(common.lean(run), plain.schema)
 
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # no name of the caller's clashes
     own, text = (F.col(f"c{docs.columns.index(c)}").cast(t) for c, t in (("doc_id", "long"), ("text", "string")))

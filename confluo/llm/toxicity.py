@@ -284,7 +284,7 @@ def toxic_scores(docs: DataFrame, field: Field, spans: bool = False) -> DataFram
                 yield pa.record_batch(columns, ["doc_id", "score", "spans"][: len(columns)])
 
     schema = "doc_id long, score double" + ", spans array<array<int>>" * spans
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(common.lean(run), schema)
 
 
 def keep_clean(docs: DataFrame, field: Field) -> DataFrame:
@@ -302,7 +302,7 @@ def keep_clean(docs: DataFrame, field: Field) -> DataFrame:
                 marginals = model.marginals([np.fromiter(map(score, tokens(t)), np.float32) for t in batch.column(at).to_pylist()])
                 yield batch.filter(pa.array(model.score(marginals) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(common.lean(run), docs.schema)
 
 
 def offending(text: str | None, marginals: np.ndarray, least: float = 0.5) -> list[list[int]]:

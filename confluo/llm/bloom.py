@@ -8,9 +8,12 @@ exact joins, so that changes how much they move and never the result.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from confluo.llm import common
+
 BITS = 1 << 24
 
 
@@ -33,3 +36,14 @@ def may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
         at = (keys >> np.uint64(shift)) & np.uint64(BITS - 1)
         out &= (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
     return out
+
+
+def passing(rows: DataFrame, key: Column, sent, hit: bool = True) -> DataFrame:
+    """The rows whose key the broadcast filter may hold (``hit``), or surely does not."""
+
+    def run(batches):
+        for batch in batches:
+            found = may_hold(sent.value, batch.column(batch.num_columns - 1).to_numpy().view(np.uint64))
+            yield batch.filter(pa.array(found == hit)).select(list(range(batch.num_columns - 1)))
+
+    return rows.withColumn("_key", key).mapInArrow(common.lean(run), rows.schema)

@@ -150,9 +150,11 @@ def near_edges(fps: DataFrame) -> DataFrame:
     parts: list[Column] = [F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in signed]
     postings = fps.select("fp", F.posexplode(F.array(*parts)).alias("triple", "bytes"))
     sizes = common.materialise(postings.groupBy("triple", "bytes").agg(F.count("*").alias("size")).where("size > 1"), "lists")
+    key = F.xxhash64("triple", "bytes")
+    sent = fps.sparkSession.sparkContext.broadcast(bloom.build(sizes.select(key.alias("key")), F.col("key")))
     blocks = F.ceil(F.col("size") / TILE).cast("long")
     tiles = (
-        postings.join(sizes, ["triple", "bytes"])
+        bloom.passing(postings, key, sent).join(sizes, ["triple", "bytes"])
         .withColumn("block", F.pmod(F.xxhash64("fp"), blocks))
         .select("triple", "bytes", "block", "fp", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
         .select(F.col("triple").cast("long").alias("triple"), "bytes", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "fp")
@@ -271,7 +273,10 @@ def similar_edges(docs: DataFrame, classes: DataFrame) -> DataFrame:
     ``BLOCK_SHINGLES`` shingles, every pair is compared on its shingles."""
     postings = classes.select("set", F.explode("bands").alias("key"))
     lists = postings.groupBy("key").agg(F.count("*").alias("size"), F.min("set").alias("head")).where("size > 1").select("key", "head")
-    grouped = common.materialise(components(postings.join(lists, "key").select("set", "head"), "set", "head").toDF("set", "group"), "groups")
+    lists = common.materialise(lists, "bands")
+    sent = docs.sparkSession.sparkContext.broadcast(bloom.build(lists, F.col("key")))
+    shared = bloom.passing(postings, F.col("key"), sent).join(lists, "key")
+    grouped = common.materialise(components(shared.select("set", "head"), "set", "head").toDF("set", "group"), "groups")
     blocks = F.greatest(F.ceil(F.col("total") / BLOCK_SHINGLES), F.ceil(F.col("sets") / BLOCK)).cast("long")
     sized = common.materialise(grouped.join(classes.select("set", "print", "size"), "set"), "sized")
     total = sized.groupBy("group").agg(F.sum("size").alias("total"), F.count("*").alias("sets"))
@@ -316,20 +321,13 @@ def keep_one(docs: DataFrame) -> DataFrame:
     listed = common.materialise(listed.where("n > 1 or not first").select(F.col("doc_id").alias("_id"), F.col("print").alias("_print"), "first"), "listed")
     bits = spark.sparkContext.broadcast(bloom.build(listed.select(F.xxhash64("_id", "_print").alias("key")), F.col("key")))
 
-    def passing(hit: bool):
-        def run(batches):
-            for batch in batches:
-                found = bloom.may_hold(bits.value, batch.column(batch.num_columns - 1).to_numpy().view(np.uint64))
-                yield batch.filter(pa.array(found == hit)).select(list(range(batch.num_columns - 1)))
-
-        return plain.withColumn("key", F.xxhash64(own, F.xxhash64(text))).mapInArrow(common.lean(run), plain.schema)
-
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # no name of the caller's clashes
     own, text = (F.col(f"c{docs.columns.index(c)}").cast(t) for c, t in (("doc_id", "long"), ("text", "string")))
+    key = F.xxhash64(own, F.xxhash64(text))
     place = own.eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_print"))
-    doubtful = passing(True).join(listed, place, "left").where(F.coalesce("first", F.lit(True)))
+    doubtful = bloom.passing(plain, key, bits).join(listed, place, "left").where(F.coalesce("first", F.lit(True)))
     once = doubtful.where("first").dropDuplicates(["_id", "_print"])
-    return passing(False).unionAll(doubtful.where("first is null").unionAll(once).select(*plain.columns)).toDF(*docs.columns)
+    return bloom.passing(plain, key, bits, hit=False).unionAll(doubtful.where("first is null").unionAll(once).select(*plain.columns)).toDF(*docs.columns)
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:

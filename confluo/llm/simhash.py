@@ -283,7 +283,8 @@ def similar_edges(docs: DataFrame, classes: DataFrame) -> DataFrame:
     placed = common.materialise(sized.join(total, "group").withColumn("block", F.pmod(F.xxhash64("set"), blocks)), "placed")
     text = docs.select(F.xxhash64(F.col("text").cast("string")).alias("print"), F.col("text").cast("string").alias("text"))
     wanted = placed.select("print").distinct()
-    texts = text.join(wanted, "print", "left_semi").groupBy("print").agg(F.first("text").alias("text"))
+    held = docs.sparkSession.sparkContext.broadcast(bloom.build(wanted, F.col("print")))
+    texts = bloom.passing(text, F.col("print"), held).join(wanted, "print", "left_semi").groupBy("print").agg(F.first("text").alias("text"))
     tiles = (
         placed.join(texts, "print")
         .select("group", "block", "set", "text", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))

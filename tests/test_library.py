@@ -91,6 +91,22 @@ def test_constrained_clusters_equal_plain_greedy(spark):
         assert decisions.where("accepted").count() == len(ids) - len({min(g) for g in group.values()})
 
 
+def test_blocking_counts_equal_the_pairs(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice((None, *range(30))), rng.choice((None, "x", "y", *map(str, range(9))))) for _ in range(60)]
+    clusters = spark.createDataFrame(rows, "cluster int, truth string")
+    pairs = sorted({tuple(sorted(rng.sample(range(32), 2))) for _ in range(90)})
+    candidates = spark.createDataFrame(pairs, "cluster_id_1 int, cluster_id_2 int")
+    want = evaluate.blocking_metrics(candidates, evaluate.true_pairs(clusters), 30).drop("recall", "reduction").first()
+    assert want.found > 0 and evaluate.blocking_counts(candidates, clusters).first() == want
+
+
+def test_blocking_counts_make_no_pairs(spark):
+    clusters = spark.range(1_000_000).select(F.col("id").alias("cluster"), F.lit("same").alias("truth"))
+    none = spark.createDataFrame([], "cluster_id_1 long, cluster_id_2 long")
+    assert tuple(evaluate.blocking_counts(none, clusters).first()) == (499_999_500_000, 0, 0)
+
+
 def test_block_cap_is_inclusive(spark):
     d = spark.range(201).select("id", F.when(F.col("id") < 100, "a").otherwise("b").alias("k"))
     pairs = linking.blocked_pairs(d, {"B": F.col("k")}, "id")

@@ -8,8 +8,10 @@ group.  The others are their own clusters.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from dataclasses import dataclass
 from functools import reduce
+from heapq import heapify, heappop, heappush
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -75,43 +77,133 @@ def exact_edges(records: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFram
     return reduce(DataFrame.unionByName, out)
 
 
-def _greedy(edges: pd.DataFrame, members: pd.DataFrame, order: list[str], ascending: list[bool]):
-    """Replays ordered edges; rows marked ``barred`` are pairs that may never meet.
-    Returns the decisions (left, right, rule, accepted, reason) and (id, root)."""
-    parent = {m: m for m in members["id"]}
-    portal = {i: set(filter(None, p)) for i, p in zip(members["id"], members["portal"])}
-    born = {i: set(filter(None, d)) for i, d in zip(members["id"], members["dob"])}
-    apart = {i: set() for i in parent}
-    for e in edges[edges["barred"]].itertuples(index=False):
-        apart[e.left].add(e.right)
-        apart[e.right].add(e.left)
+class _Clusters:
+    """Clusters of one component with the values that their members are known by."""
+
+    def __init__(self, members: pd.DataFrame):
+        self.parent = {m: m for m in members["id"]}
+        self.portal = {i: set(filter(None, p)) for i, p in zip(members["id"], members["portal"])}
+        self.born = {i: set(filter(None, d)) for i, d in zip(members["id"], members["dob"])}
+        self.apart: dict[str, set] = {i: set() for i in self.parent}
 
-    def find(x):
+    def find(self, x):
+        parent = self.parent
         while parent[x] != x:
             parent[x] = parent[parent[x]]
             x = parent[x]
         return x
 
+    def conflict(self, a, b, authoritative: bool) -> str:
+        portal, born = self.portal, self.born
+        if any(self.find(x) == b for x in self.apart[a]):
+            return "prohibited"
+        if portal[a] and portal[b] and not portal[a] & portal[b]:
+            return "portal conflict"
+        if not authoritative and born[a] and born[b] and not born[a] & born[b]:
+            return "date of birth conflict"
+        return ""
+
+    def merge(self, a, b):
+        a, b = min(a, b), max(a, b)
+        self.parent[b] = a
+        self.portal[a] |= self.portal[b]
+        self.born[a] |= self.born[b]
+        self.apart[a] |= self.apart[b]
+        return a
+
+    def known(self, a) -> tuple[int, int]:
+        return len(self.portal[a]), len(self.born[a])
+
+
+def _greedy(edges: pd.DataFrame, members: pd.DataFrame, order: list[str], ascending: list[bool]):
+    """Replays ordered edges; rows marked ``barred`` are pairs that may never meet.
+    Returns the decisions (left, right, rule, accepted, reason) and (id, root)."""
+    c = _Clusters(members)
+    for e in edges[edges["barred"]].itertuples(index=False):
+        c.apart[e.left].add(e.right)
+        c.apart[e.right].add(e.left)
     decisions = []
     for e in edges[~edges["barred"]].sort_values(order, ascending=ascending, kind="stable").itertuples(index=False):
-        a, b = find(e.left), find(e.right)
+        a, b = c.find(e.left), c.find(e.right)
         if a == b:
             continue
-        reason = ""
-        if any(find(x) == b for x in apart[a]):
-            reason = "prohibited"
-        elif portal[a] and portal[b] and not portal[a] & portal[b]:
-            reason = "portal conflict"
-        elif not e.authoritative and born[a] and born[b] and not born[a] & born[b]:
-            reason = "date of birth conflict"
+        reason = c.conflict(a, b, e.authoritative)
         decisions.append((e.left, e.right, e.rule, not reason, reason))
         if not reason:
-            a, b = min(a, b), max(a, b)
-            parent[b] = a
-            portal[a] |= portal[b]
-            born[a] |= born[b]
-            apart[a] |= apart[b]
-    return decisions, [(m, find(m)) for m in members["id"]]
+            c.merge(a, b)
+    return decisions, [(m, c.find(m)) for m in members["id"]]
+
+
+def _replay_key(c: _Clusters, ids: list[str], authoritative: bool) -> None:
+    """What ``_greedy`` does with all pairs of the sorted ``ids`` in order.  A pair of
+    clusters is asked once, and again, at its next pair of ids, only if what is known of
+    one of them has changed; a record whose cluster met all others since is passed over."""
+    held: dict[str, list[int]] = {}
+    for i, x in enumerate(ids):
+        held.setdefault(c.find(x), []).append(i)
+    merges, settled = 0, {}
+    for i, x in enumerate(ids):
+        if len(held) == 1:
+            return
+        a = c.find(x)
+        if settled.get(a) == merges:
+            continue
+        own, refused, grown = held.pop(a), [], False
+        ahead = [(at[bisect_right(at, i)], b) for b, at in held.items() if at[-1] > i]
+        heapify(ahead)
+        while ahead:
+            j, b = heappop(ahead)
+            if c.conflict(a, b, authoritative):
+                refused.append(b)
+                continue
+            before = c.known(a)
+            a, merges = c.merge(a, b), merges + 1
+            own += held.pop(b)
+            if c.known(a) != before:
+                grown = True
+                for b in refused:
+                    if held[b][-1] > j:
+                        heappush(ahead, (held[b][bisect_right(held[b], j)], b))
+                refused = [b for b in refused if held[b][-1] <= j]
+        own.sort()
+        held[a] = own
+        if not grown:
+            settled[a] = merges
+
+
+def _listed(records: DataFrame) -> DataFrame:
+    return records.withColumns({c: F.array(F.coalesce(c, F.lit(""))) for c in ("portal", "dob") if dict(records.dtypes)[c] == "string"})
+
+
+def _several(member: DataFrame) -> DataFrame:
+    """Components in which a portal or a date of birth has more than one value."""
+    known = member.select("component", F.explode(F.concat(*[F.transform(c, lambda v, c=c: F.struct(F.lit(c).alias("kind"), v.alias("value"))) for c in ("portal", "dob")])).alias("e")).select("component", "e.*")
+    return known.where("value <> ''").distinct().groupBy("component", "kind").count().where("count > 1").select("component")
+
+
+def keyed_clusters(records: DataFrame, keyed: DataFrame) -> DataFrame:
+    """(id, cluster) of ``constrained_clusters`` over all pairs of ids that share a key,
+    without making the pairs.  records: as there; keyed: id, key, priority,
+    authoritative (the same for all of a priority and key), a null key counts as none."""
+    records = _listed(records)
+    keyed = cut(keyed.select("id", "key", "priority", "authoritative").where("key is not null").distinct(), "keyed")
+    shared = keyed.groupBy("priority", "key").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    keyed = cut(keyed.join(shared, ["priority", "key"]).drop("n"), "shared")
+    comp = cut(components(keyed.where("id <> first"), "first", "id"), "components")
+    member = cut(records.join(comp, records["id"] == comp["node"]).drop("node"), "members")
+    risky = cut(_several(member).distinct(), "risky")
+
+    def replay(k: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
+        c = _Clusters(m)
+        for _, group in k.groupby(["priority", "key"], sort=True):
+            _replay_key(c, sorted(x for x in group["id"] if x in c.parent), bool(group["authoritative"].iloc[0]))
+        return pd.DataFrame([(x, c.find(x)) for x in m["id"]], columns=["id", "cluster"])
+
+    placed = keyed.join(comp.withColumnRenamed("node", "id"), "id").join(risky, "component", "left_semi")
+    replayed = placed.groupBy("component").cogroup(member.join(risky, "component", "left_semi").groupBy("component")).applyInPandas(replay, "id string, cluster string")
+    safe = member.join(risky, "component", "left_anti").select("id", F.col("component").alias("cluster"))
+    linked = cut(safe.unionByName(replayed), "linked")
+    return linked.unionByName(records.select("id").join(linked, "id", "left_anti").select("id", F.col("id").alias("cluster")))
 
 
 def constrained_clusters(records: DataFrame, edges: DataFrame, order: tuple[str, ...] = ("priority", "key", "left", "right"), descending: tuple[str, ...] = (), barred: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -119,7 +211,7 @@ def constrained_clusters(records: DataFrame, edges: DataFrame, order: tuple[str,
     values; sets that do not meet are a conflict.  ``barred`` (left, right): pairs of ids that may not meet, through others either.  Returns (id, cluster),
     cluster the least id in it, and the decisions (left, right, rule, accepted, reason)."""
     ascending = [c not in descending for c in order]
-    records = records.withColumns({c: F.array(F.coalesce(c, F.lit(""))) for c in ("portal", "dob") if dict(records.dtypes)[c] == "string"})
+    records = _listed(records)
     edges = cut(edges, "edges")
     comp = cut(components(edges, "left", "right"), "components")
     member = cut(records.join(comp, records["id"] == comp["node"]).drop("node"), "members")
@@ -136,9 +228,7 @@ def constrained_clusters(records: DataFrame, edges: DataFrame, order: tuple[str,
 
         return run, schema
 
-    known = member.select("component", F.explode(F.concat(*[F.transform(c, lambda v, c=c: F.struct(F.lit(c).alias("kind"), v.alias("value"))) for c in ("portal", "dob")])).alias("e")).select("component", "e.*")
-    several = known.where("value <> ''").distinct().groupBy("component", "kind").count().where("count > 1").select("component")
-    risky = cut(several.unionAll(placed.where("barred").select("component")).distinct(), "risky")
+    risky = cut(_several(member).unionAll(placed.where("barred").select("component")).distinct(), "risky")
     fn, schema = replay("roots", "id string, cluster string")
     replayed = placed.join(risky, "component", "left_semi").groupBy("component").cogroup(member.join(risky, "component", "left_semi").groupBy("component")).applyInPandas(fn, schema)
     safe = member.join(risky, "component", "left_anti").select("id", F.col("component").alias("cluster"))

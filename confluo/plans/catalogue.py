@@ -175,8 +175,8 @@ def constrained_clusters(spark, d):
     """L3, L4: ordered greedy merges under portal and birth-date conflicts."""
     c = table(spark, d, "customer")
     r = c.select(F.format_string("STG%06d", "c_custkey").alias("id"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_nationkey").cast("string")).otherwise("").alias("portal"), F.when(F.col("c_custkey") % 4 == 0, F.col("c_mktsegment")).otherwise("").alias("dob"), (F.round("c_acctbal") % 1000).alias("k"))
-    e = linking.key_pairs(r, F.col("k").cast("string"), "id").withColumns({"rule": F.lit("D05"), "priority": F.lit(5), "authoritative": F.lit(False)})
-    return linking.constrained_clusters(r.drop("k"), e)[0]
+    keyed = r.select("id", F.col("k").cast("string").alias("key"), F.lit(5).alias("priority"), F.lit(False).alias("authoritative"))
+    return linking.keyed_clusters(r.drop("k"), keyed)
 
 
 def _crm(spark) -> DataFrame:

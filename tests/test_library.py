@@ -1,7 +1,9 @@
 import math
 import random
+from itertools import combinations
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,6 +93,30 @@ def test_constrained_clusters_equal_plain_greedy(spark):
         assert decisions.where("accepted").count() == len(ids) - len({min(g) for g in group.values()})
 
 
+def test_keyed_clusters_equal_the_replay_of_all_pairs():
+    rng = random.Random(8)
+    values = lambda kind, most: {f"{kind}{rng.randrange(4)}" for _ in range(rng.choice((0, 0, 1, 1, most)))}
+    for n in range(400):
+        ids, most = [f"STG{i:03d}" for i in range(rng.choice((6, 12, 40)))], rng.choice((1, 3))
+        members = pd.DataFrame({"id": ids, "portal": [values("p", most) for _ in ids], "dob": [values("d", most) for _ in ids]})
+        keys = [(p, f"k{k}", p <= 2, sorted(rng.sample(ids, rng.randrange(2, len(ids))))) for p in (1, 5, 7) for k in range(3)][: 1 + n % 9]
+        pairs = [(a, b, k, f"D0{p}", p, authority, False) for p, k, authority, group in keys for a, b in combinations(group, 2)]
+        edges = pd.DataFrame(pairs, columns=["left", "right", "key", "rule", "priority", "authoritative", "barred"])
+        want = linking._greedy(edges, members, ["priority", "key", "left", "right"], [True] * 4)[1]
+        c = linking._Clusters(members)
+        for _, _, authority, group in keys:
+            linking._replay_key(c, group, authority)
+        assert [(x, c.find(x)) for x in ids] == want
+
+
+def test_keyed_clusters_make_no_pairs(spark):
+    n = 40_000  # eight hundred million pairs
+    r = spark.range(n).select(F.format_string("STG%06d", "id").alias("id"), F.when(F.col("id") % 3 == 0, (F.col("id") % 7).cast("string")).otherwise("").alias("portal"), F.lit("").alias("dob"))
+    keyed = r.select("id", F.lit("k").alias("key"), F.lit(5).alias("priority"), F.lit(False).alias("authoritative"))
+    sizes = linking.keyed_clusters(r, keyed).groupBy("cluster").count().collect()
+    assert sum(s["count"] for s in sizes) == n and {s.cluster for s in sizes} == {f"STG{i:06d}" for i in (0, 3, 6, 9, 12, 15, 18)}
+
+
 def test_blocking_counts_equal_the_pairs(spark):
     rng = random.Random(4)
     rows = [(rng.choice((None, *range(30))), rng.choice((None, "x", "y", *map(str, range(9))))) for _ in range(60)]

@@ -7,9 +7,9 @@ stay: passages of over fifty words that are shorter than 400 bytes show there.
 Every window has one minimiser: the least hash among the short strings in it.  Equal
 windows have equal minimisers, so only windows of one minimiser can match.  A run of
 windows with one minimiser in a document is a context.  Counts over all documents tell
-which minimisers occur twice; a bit filter hands them to a second reading of the
-documents, which writes the contexts of those (and, by chance, of a few more, which
-then match nothing).
+which minimisers occur twice; a bit filter, sized by their number, hands them to a
+second reading of the documents, which writes the contexts of those (and, by chance, of
+a few more, which then match nothing).
 
 Minimisers are dealt into shards of about ``SHARD_BYTES`` of contexts, whose number
 grows with the input.  A task takes a shard's contexts as they arrive, in batches of
@@ -236,7 +236,8 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     common.ship(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     twice = docs.select("text").mapInArrow(_keys, "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    sent = spark.sparkContext.broadcast(bloom.build(twice, F.col("key")))
+    twice = common.materialise(twice.select("key"), "twice")
+    sent = spark.sparkContext.broadcast(bloom.build(twice, F.col("key"), bloom.bits_for(twice.count())))
     table = common.materialise(docs.mapInArrow(_rows(sent), ROW_SCHEMA), "rows")
     held = table.where("contexts is not null")
     seen = held.select("row", F.explode("contexts").alias("c")).select("row", "c.*")
@@ -246,7 +247,7 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     keys = common.materialise(different.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "keys")
     wanted = common.materialise(different.join(keys, "key").select("at", "unit", "size", (F.col("m") > LIMIT).alias("crowded")), "wanted")
     total = {(r["unit"], r["crowded"]): r["b"] for r in wanted.groupBy("unit", "crowded").agg(F.sum("size").alias("b")).collect()}
-    want = spark.sparkContext.broadcast(bloom.build(wanted.select("at").mapInArrow(_mixed_numbers, "key long"), F.col("key")))
+    want = spark.sparkContext.broadcast(bloom.build(wanted.select("at").mapInArrow(_mixed_numbers, "key long"), F.col("key"), bloom.bits_for(wanted.count())))
     # all contexts of a minimiser take one way, a few of those of uncrowded ones the long one
     route = spark.sparkContext.broadcast(bloom.build(keys.where(F.col("m") > LIMIT), F.col("key")))
     pieces = lambda crowded: held.select("n_bytes", "data", "contexts").mapInArrow(_pieces(want, route, crowded), "unit byte, key long, digest binary, data binary")

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from confluo.llm import bpe, common, embeddings, licenses, media, mixing, packing, secrets, simhash, suffix_dedup, suffix_index, token_counts, toxicity
+from confluo.llm import bloom, bpe, common, embeddings, licenses, media, mixing, packing, secrets, simhash, suffix_dedup, suffix_index, token_counts, toxicity
 
 DATA = "/root/testdata/sf0.001"
 LONG = " ".join(f"w{i}" for i in range(30_000))
@@ -365,6 +365,25 @@ def test_suffix_dedup_of_passages_of_over_fifty_words(spark):
     assert deduped(spark.createDataFrame(rows, "doc_id long, text string")) == removed([t.encode() for _, t in rows])
 
 
+def test_filters_of_many_keys_stay_selective(spark):
+    n = 4_000_000
+    bits = bloom.build(spark.range(n).select(F.xxhash64("id").alias("key")), F.col("key"), bloom.bits_for(n))
+    keys = np.random.default_rng(5).integers(0, 1 << 63, 100_000, np.uint64)
+    assert bloom.may_hold(bits, keys).mean() < 0.05
+    some = spark.range(1000).select(F.xxhash64("id").alias("key")).toPandas()["key"].to_numpy()
+    assert bloom.may_hold(bits, some.view(np.uint64)).all()
+    assert bloom.bits_for(0) == bloom.BITS and bloom.bits_for(1 << 40) == bloom.MOST_BITS
+
+
+def test_suffix_dedup_sizes_its_filters(spark, monkeypatch):
+    sizes, build = [], bloom.build
+    monkeypatch.setattr(bloom, "BITS", 64)
+    monkeypatch.setattr(bloom, "build", lambda keys, key, size=64: sizes.append(size) or build(keys, key, size))
+    rows = [(i, f"{BASE}{i} {LONG[: 20_000]}") for i in range(4)]
+    assert all(r.n_removed > 19_000 for r in suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert len(sizes) == 3 and sizes[0] > 64
+
+
 def test_suffix_dedup_of_crowded_minimisers(spark, monkeypatch):
     rng = random.Random(9)
     passage = "".join(rng.choices("abcdefgh ", k=700))
